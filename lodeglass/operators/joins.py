@@ -1,23 +1,8 @@
-"""Join helpers: null-safe keys and size-checked broadcasts."""
+"""Join helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from lodeglass.session import materialise
-
-BROADCAST_ROWS = 200_000
-
-
-def if_small_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a summary frame once; mark it for broadcast only if it is seen to be small.
-
-    Without the mark the planner would size an aggregate by its input and shuffle the big side.
-    """
-    done = materialise(df)
-    small = done.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
-    return F.broadcast(done) if small else done
+from pyspark.sql import DataFrame
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,11 +10,3 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     matches = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
     return left.join(renamed, matches, how).drop(*[f"_right_{k}" for k in keys])
-
-
-def complete_cells(parts: list[Column]) -> Column:
-    """True where none of the columns is null."""
-    out = F.lit(True)
-    for part in parts:
-        out = out & part.isNotNull()
-    return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeglass.operators.joins import if_small_broadcast, join_on
+from lodeglass.operators.joins import join_on
 from lodeglass.session import materialise
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -39,7 +39,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def number_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3, … inside each group, also when one group holds most rows."""
     numbered = number_rows(df, [*[F.col(g) for g in group], *order], "_at")
-    first = if_small_broadcast(numbered.groupBy(*group).agg(F.min("_at").alias("_first")))
+    first = materialise(numbered.groupBy(*group).agg(F.min("_at").alias("_first")))
     joined = join_on(numbered, first, group)
     return joined.select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
 

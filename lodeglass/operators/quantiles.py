@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.operators.joins import if_small_broadcast, join_on
+from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import running_total
+from lodeglass.session import materialise
 
 SMALL_ROWS = 100_000
 ACCURACY = 10_000
@@ -79,7 +80,7 @@ def _distributed(kept: DataFrame, group: list[str], probs: list[float], accuracy
     highs = F.array(
         *[F.when(whole | F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_ends")[k + i]) for i in range(k)]
     )
-    brackets = if_small_broadcast(brackets.select(*keys, lows.alias("_lo"), highs.alias("_hi")))
+    brackets = materialise(brackets.select(*keys, lows.alias("_lo"), highs.alias("_hi")))
 
     # Pass 2: count the values inside brackets one by one and those in a gap together. A gap is keyed by
     # the start of the bracket above it and sorts before that bracket, because _in is false there.
@@ -102,7 +103,7 @@ def _distributed(kept: DataFrame, group: list[str], probs: list[float], accuracy
     summed = running_total(counted, order, "_n", "_upto")
 
     base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("n"))
-    located = join_on(summed, if_small_broadcast(base), keys).select(
+    located = join_on(summed, materialise(base), keys).select(
         *keys,
         "n",
         "_v",

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -52,9 +53,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into reliable storage, so later passes see the very same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Compute once into a table in the shared folder and read it back.
+
+    Later passes see the very same rows, survive lost executors, and the planner knows the real
+    size, so it broadcasts a summary by itself when that is safe and shuffles it when it is not.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
