@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lodeglass.functions.text import strip
 from lodeglass.operators.profile import columns_of, quoted, union_all
+from lodeglass.session import materialise
 
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """
     names = columns or df.columns
     hashed = df.select(*[quoted(c) for c in names], F.xxhash64(*[quoted(c) for c in names]).alias("_h"))
-    repeated = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    repeated = materialise(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
     suspects = hashed.join(repeated, "_h", "left_semi")
     return suspects.groupBy(*[quoted(c) for c in names]).agg(F.count("*").alias("n")).where("n > 1")
 
