@@ -79,8 +79,10 @@ def _new_cells(df: DataFrame, step: Step) -> dict[str, Callable[[Column], Column
     raise ValueError(f"unknown cleaning step {step.kind!r}")
 
 
-def _differs(before: Column, after: Column) -> Column:
-    return F.when(before.eqNullSafe(after), 0).otherwise(1)
+def _differs(kind: str, before: Column, after: Column) -> Column:
+    """A cast changes the cells it cannot read; every other step those that come out different."""
+    same = before.isNull() | after.isNotNull() if kind == "cast" else before.eqNullSafe(after)
+    return F.when(same, 0).otherwise(1)
 
 
 def clean_dataset(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +148,7 @@ def clean_dataset(df: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFram
         wide = state.withColumns({new: cells[name](quoted(name)) for name, new in renamed.items()})
         changed = F.lit(0)
         for name, new in renamed.items():
-            changed = changed + _differs(quoted(name), F.col(new).cast(state.schema[name].dataType))
+            changed = changed + _differs(step.kind, quoted(name), F.col(new))
         flag = f"_alive_{number}"
         wide = wide.withColumns({f"{CHANGED}{number}": changed, flag: F.col(ALIVE)})
         state = wide.withColumns({name: F.col(new) for name, new in renamed.items()}).drop(*renamed.values())
