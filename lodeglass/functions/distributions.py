@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_tail(x: float | None, df: int | None) -> float | None:
@@ -27,7 +28,7 @@ def chi2_tail(x: float | None, df: int | None) -> float | None:
     return min(total, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [chi2_tail(None if pd.isna(v) else float(v), None if pd.isna(d) else int(d)) for v, d in zip(x, df)],

@@ -175,3 +175,20 @@ def context_render(tables: DataFrame, texts: DataFrame | None = None, span: int
         F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(NO_FILES).alias("context")
     )
     return parts.unionByName(none)
+
+
+def conversation_log(df: DataFrame, conversation: str, seq: str, role: str, content: str) -> DataFrame:
+    """conv_id, seq, role, content: content forced to text, order kept as a column."""
+    return df.select(
+        F.col(conversation).alias("conv_id"),
+        F.col(seq).cast("long").alias("seq"),
+        F.col(role).alias("role"),
+        F.col(content).cast("string").alias("content"),
+    )
+
+
+def conversation_rollup(log: DataFrame) -> DataFrame:
+    """conv_id, role, n, chars."""
+    return log.groupBy("conv_id", "role").agg(
+        F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars")
+    )

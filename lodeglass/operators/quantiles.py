@@ -15,7 +15,7 @@ from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import running_total
 from lodeglass.session import materialise
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 1_000_000
 ACCURACY = 10_000
 
 

@@ -79,9 +79,12 @@ def response_sections(df: DataFrame, key: str, reply: str) -> DataFrame:
             lambda h, b: F.struct(_section_of(h).alias("name"), b.alias("body")),
         ).alias("_found"),
     )
+    def last_body(name: str) -> Column:
+        return F.element_at(F.filter("_found", lambda s: s["name"] == name), -1)["body"]
+
     out = []
     for name in SECTIONS:
-        body = F.element_at(F.filter("_found", lambda s, n=name: s["name"] == n), -1)["body"]
+        body = F.when(F.array_contains(F.transform("_found", lambda s: s["name"]), name), last_body(name))
         parsed = F.coalesce(_clean(name, body), F.lit(f"Could not parse '{name}' section."))
         missing = F.lit(NO_RESPONSE if name == "approach" else "")
         out.append(F.when(is_filled(F.col("_text")), parsed).otherwise(missing).alias(name))

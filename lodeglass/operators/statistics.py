@@ -266,7 +266,7 @@ def crosstab_shares(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     """One row per a, one count column per listed value of b."""
-    wide = df.groupBy(quoted(a).alias("a")).pivot(b, values).agg(F.count("*"))
+    wide = df.groupBy(quoted(a).alias("a")).pivot(b, values).agg(F.count(F.lit(1)))
     return wide.select("a", *[F.coalesce(quoted(v), F.lit(0)).alias(v) for v in values])
 
 

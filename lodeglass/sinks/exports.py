@@ -14,6 +14,7 @@ LEDGER_SCHEMA = (
     "project string, seq long, task string, files array<string>, approach string, "
     "code string, results_text string, insights string"
 )
+CONVERSATION_SCHEMA = "conv_id long, seq long, role string, content string"
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -33,28 +34,45 @@ def export_texts_json(texts: DataFrame, path: str) -> None:
     texts.select("name", "text").write.json(path)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger so far; a ledger never written to is empty."""
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER_SCHEMA)
+        return spark.createDataFrame([], schema)
 
 
-def append_results(results: DataFrame, path: str, order: list[str]) -> None:
-    """Append results to the ledger, numbered on from each project's last ``seq``."""
-    spark = results.sparkSession
-    last = read_ledger(spark, path).groupBy("project").agg(F.max("seq").alias("_last"))
-    numbered = number_within(results, ["project"], [F.col(c) for c in order], "_at")
-    placed = join_on(numbered, last, ["project"], "left").withColumn(
-        "seq", F.col("_at") + F.coalesce("_last", F.lit(0))
-    )
-    names = [f.split(" ")[0] for f in LEDGER_SCHEMA.split(", ")]
+def _append_numbered(rows: DataFrame, path: str, schema: str, group: str, order: list[str]) -> None:
+    """Append rows, numbered on from each group's last ``seq``."""
+    spark = rows.sparkSession
+    last = _read_or_empty(spark, path, schema).groupBy(group).agg(F.max("seq").alias("_last"))
+    numbered = number_within(rows, [group], [F.col(c) for c in order], "_at")
+    seq = F.col("_at") + F.coalesce("_last", F.lit(0))
+    placed = join_on(numbered, last, [group], "left").withColumn("seq", seq)
+    names = [f.split(" ")[0] for f in schema.split(", ")]
     placed.select(*names).write.mode("append").parquet(path)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The results so far; a ledger never written to is empty."""
+    return _read_or_empty(spark, path, LEDGER_SCHEMA)
+
+
+def append_results(results: DataFrame, path: str, order: list[str]) -> None:
+    _append_numbered(results, path, LEDGER_SCHEMA, "project", order)
+
+
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    return _read_or_empty(spark, path, CONVERSATION_SCHEMA)
+
+
+def append_conversations(entries: DataFrame, path: str, order: list[str]) -> None:
+    """Append (conv_id, role, content) entries; content is forced to text."""
+    texts = entries.withColumn("content", F.col("content").cast("string"))
+    _append_numbered(texts, path, CONVERSATION_SCHEMA, "conv_id", order)
+
+
 def export_ledger_json(ledger: DataFrame, path: str) -> None:
     ledger.write.option("ignoreNullFields", False).json(path)
 

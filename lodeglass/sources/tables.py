@@ -26,12 +26,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path)
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def csv_scan(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine). The quarantine is (source, raw_line) of rows that do not fit the schema."""
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    # Every cell has to be parsed to judge a row, whatever columns the query keeps.
+    # A row is judged by all its cells, whatever columns the query keeps later. Spark would parse
+    # only the kept ones, so both filters look at every field through a test that is always true.
     rows = (
-        spark.read.option("header", True)
+        spark.read.option("header", header)
         .option("nullValue", NULL_TOKEN)
         .option("escape", '"')
         .option("columnPruning", False)
@@ -39,13 +42,10 @@ def csv_scan(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Data
         .schema(marked)
         .csv(path)
     )
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # Spark refuses to read the corrupt-record column alone, so the row's first field comes along.
-    first = schema.fields[0].name
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select(
-        F.col("_metadata.file_name").alias("source"), F.col(CORRUPT).alias("raw_line"), F.col(first)
-    )
-    return good, bad.select("source", "raw_line", F.col(first).isNull().alias("_touch")).drop("_touch")
+    parsed = F.xxhash64(*[F.col(f.name) for f in schema.fields]) >= F.lit(-(2**63))
+    good = rows.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
+    bad = rows.where(F.col(CORRUPT).isNotNull() & parsed)
+    return good, bad.select(F.col("_metadata.file_name").alias("source"), F.col(CORRUPT).alias("raw_line"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
