@@ -13,7 +13,12 @@ FORBIDDEN_CODE = ["os.system", "subprocess"]
 # Fixed value: replies starting with this text are failures.
 ERROR_PREFIX = "Error:"
 
-# Whitespace as Python's str.strip sees it; Java's Unicode \s lacks the four separators 1c-1f.
+# The whitespace characters Python's str.strip removes.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+# The same inside a regular expression; Java's Unicode \s lacks the four separators 1c-1f.
 SPACE = r"[\s\x1c-\x1f]"
 
 ELLIPSIS = "..."
@@ -21,7 +26,7 @@ ELLIPSIS = "..."
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_filled(text: Column) -> Column:

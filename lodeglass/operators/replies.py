@@ -17,8 +17,6 @@ SECTIONS = ["approach", "code", "results_text", "insights"]
 # Line ends and in-line blanks as Python sees them (str.splitlines and \s).
 _BREAKS = r"\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
 _BLANK = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
-# Start of a line: not after an ordinary character, not between the two halves of \r\n.
-_LINE_START = rf"(?<![^{_BREAKS}])(?!(?<=\r)\n)"
 _TASK_HEADER = rf"{_BLANK}*\**{_BLANK}*Task{_BLANK}*\p{{Nd}}+\.?{_BLANK}*\**:"
 
 # The optional sign after "python" and "key" covers their last letter only.
@@ -27,23 +25,32 @@ _SECTION_HEADER = (
 )
 
 
-def split_tasks(guidance: Column) -> Column:
-    """Array of task blocks; the manual-entry sentinel comes last. Null or empty gives an empty array."""
-    before_stop = F.split(guidance, rf"{_LINE_START}[^{_BREAKS}]*{STOP_LINE.replace('.', '[.]')}", 2)[0]
-    pieces = F.split(before_stop, rf"(?iu){_LINE_START}(?={_TASK_HEADER})")
-    blocks = F.transform(F.filter(pieces, lambda p: F.rlike(p, F.lit(rf"(?iu)^{_TASK_HEADER}"))), strip)
-    whole = F.when(F.size(blocks) > 0, blocks).otherwise(F.array(strip(guidance)))
-    kept = F.array_distinct(F.filter(whole, lambda b: b != MANUAL_TASK))
-    return (
-        F.when(~is_filled(guidance), F.array().cast("array<string>"))
-        .when(strip(guidance) == "", F.array(F.lit(MANUAL_GUIDANCE)))
-        .otherwise(F.concat(kept, F.array(F.lit(MANUAL_TASK))))
-    )
-
-
 def task_blocks(df: DataFrame, key: str, guidance: str) -> DataFrame:
-    """key, pos, task; positions start at 1."""
-    rows = df.select(F.col(key).alias("key"), F.posexplode(split_tasks(F.col(guidance))).alias("p", "task"))
+    """key, pos, task; positions start at 1 and the manual-entry sentinel comes last.
+
+    Null or empty guidance gives no row, blank guidance a fixed sentence, and guidance without any
+    task header is one block.
+    """
+    # One projection per step: an expression used twice in one projection would run twice.
+    text = df.select(F.col(key).alias("key"), F.col(guidance).alias("_text")).where(is_filled(F.col("_text")))
+    stop = F.instr("_text", STOP_LINE)
+    upto = F.when(stop > 0, F.substring(F.col("_text"), F.lit(1), stop - 1)).otherwise(F.col("_text"))
+    found = text.select("key", "_text", (stop > 0).alias("_stops"), upto.alias("_upto"))
+    # The whole line with the stop words goes. Its start is searched in the last stretch only.
+    line = F.element_at(F.split(F.substring_index("_upto", "\n", -1), f"[{_BREAKS}]"), -1)
+    kept = F.when(F.col("_stops"), F.substring(F.col("_upto"), F.lit(1), F.length("_upto") - F.length(line)))
+    pieces = F.split(kept.otherwise(F.col("_upto")), rf"(?iu)(?<=[{_BREAKS}])(?={_TASK_HEADER})")
+    # Only the first piece can lack a header: it is what comes before the first task.
+    cut = found.select("key", strip(F.col("_text")).alias("_text"), pieces.alias("_pieces"))
+    headed = F.rlike(F.col("_pieces")[0], F.lit(rf"(?iu)^{_TASK_HEADER}"))
+    first = F.when(headed, F.col("_pieces")).otherwise(F.slice("_pieces", 2, F.size("_pieces")))
+    blocks = cut.select("key", "_text", F.transform(first, strip).alias("_blocks"))
+    whole = F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(F.array("_text"))
+    kept = F.array_distinct(F.array_remove(whole, MANUAL_TASK))
+    tasks = F.when(F.col("_text") == "", F.array(F.lit(MANUAL_GUIDANCE))).otherwise(
+        F.concat(kept, F.array(F.lit(MANUAL_TASK)))
+    )
+    rows = blocks.select("key", F.posexplode(tasks).alias("p", "task"))
     return rows.select("key", (F.col("p") + 1).cast("long").alias("pos"), "task")
 
 
@@ -67,24 +74,29 @@ def _clean(name: str, body: Column) -> Column:
 
 def response_sections(df: DataFrame, key: str, reply: str) -> DataFrame:
     """key, approach, code, results_text, insights. A repeated header: its last body wins."""
-    text = F.col(reply)
-    bodies = F.split(text, _SECTION_HEADER)
-    headers = F.regexp_extract_all(text, F.lit(_SECTION_HEADER), 1)
-    found = df.select(
-        F.col(key).alias("key"),
-        text.alias("_text"),
+    text = df.select(F.col(key).alias("key"), F.col(reply).alias("_text"))
+    cut = text.select(
+        "key",
+        "_text",
+        F.regexp_extract_all("_text", F.lit(_SECTION_HEADER), 1).alias("_headers"),
+        F.split("_text", _SECTION_HEADER).alias("_bodies"),
+    )
+    found = cut.select(
+        "key",
+        "_text",
         F.zip_with(
-            headers,
-            F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))),
+            "_headers",
+            F.slice("_bodies", 2, F.size("_headers")),
             lambda h, b: F.struct(_section_of(h).alias("name"), b.alias("body")),
         ).alias("_found"),
     )
+
     def last_body(name: str) -> Column:
-        return F.element_at(F.filter("_found", lambda s: s["name"] == name), -1)["body"]
+        return F.get(F.filter(F.reverse("_found"), lambda s: s["name"] == name), F.lit(0))["body"]
 
     out = []
     for name in SECTIONS:
-        body = F.when(F.array_contains(F.transform("_found", lambda s: s["name"]), name), last_body(name))
+        body = last_body(name)
         parsed = F.coalesce(_clean(name, body), F.lit(f"Could not parse '{name}' section."))
         missing = F.lit(NO_RESPONSE if name == "approach" else "")
         out.append(F.when(is_filled(F.col("_text")), parsed).otherwise(missing).alias(name))

@@ -24,26 +24,30 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """x, y, n, r for every column pair x < y over the rows where both are filled.
 
     Built from the sums of products because ``corr`` raises on a constant column under ANSI rules.
+    Pairs are rows of a narrow aggregate: hundreds of aggregate columns would not be compiled.
     """
     pairs = list(combinations(sorted(columns), 2))
+    spark = df.sparkSession
     parts = []
     for start in range(0, len(pairs), PAIR_BATCH):
-        chunk = pairs[start : start + PAIR_BATCH]
-        cells = []
-        for i, (x, y) in enumerate(chunk):
-            a, b = quoted(x).cast("double"), quoted(y).cast("double")
-            scale = F.sqrt(F.regr_sxx(b, a) * F.regr_syy(b, a))
-            cells.append(
-                F.struct(
-                    F.lit(x).alias("x"),
-                    F.lit(y).alias("y"),
-                    F.regr_count(b, a).alias("n"),
-                    F.try_divide(F.regr_sxy(b, a), scale).alias("r"),
-                ).alias(f"p{i}")
+        cells = [
+            F.struct(
+                F.lit(i).alias("pair"), quoted(x).cast("double").alias("a"), quoted(y).cast("double").alias("b")
             )
-        row = df.agg(*cells)
-        parts.append(row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(chunk))]))))
-    return union_all(parts)
+            for i, (x, y) in enumerate(pairs[start : start + PAIR_BATCH], start)
+        ]
+        sums = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(
+            F.regr_count("b", "a").alias("n"),
+            F.regr_sxy("b", "a").alias("xy"),
+            F.regr_sxx("b", "a").alias("xx"),
+            F.regr_syy("b", "a").alias("yy"),
+        )
+        parts.append(sums)
+    names = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "pair int, x string, y string")
+    r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    return names.join(union_all(parts), "pair", "left").select(
+        "x", "y", F.coalesce("n", F.lit(0)).alias("n"), r.alias("r")
+    )
 
 
 def frequency_counts(df: DataFrame, column: str, top_k: int | None = None) -> DataFrame:

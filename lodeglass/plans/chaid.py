@@ -107,8 +107,14 @@ def _p(groups: list[list[int]]) -> float:
     return 1.0 if tail is None else tail
 
 
-def _partitions(c: int, r: int, ordered: bool) -> float:
-    """Ways to merge c categories into r groups: the Bonferroni factor."""
+def _partitions(categories: Counts, r: int, ordered: bool) -> float:
+    """Ways to merge the categories into r groups: the Bonferroni factor.
+
+    Ordered categories merge with neighbours only; a missing one among them may join any group.
+    """
+    c = len(categories)
+    if ordered and MISSING in categories:
+        return comb(c - 2, r - 2) + r * comb(c - 2, r - 1)
     if ordered:
         return comb(c - 1, r - 1)
     row = [1.0] + [0.0] * r
@@ -119,13 +125,14 @@ def _partitions(c: int, r: int, ordered: bool) -> float:
 
 def _merge(counts: Counts, ordered: bool, alpha: float, min_leaf: int) -> list[tuple[tuple[str, ...], list[int]]]:
     """Join the most alike categories until all differ and all are large enough."""
-    groups = [((c,), list(counts[c])) for c in sorted(counts)]
+    # The missing category goes last, so that joining it to an earlier group keeps the order.
+    groups = [((c,), list(counts[c])) for c in sorted(counts, key=lambda c: (c == MISSING, c))]
     while len(groups) > 1:
         pairs = [
             (i, j)
             for i in range(len(groups))
             for j in range(i + 1, len(groups))
-            if not ordered or j == i + 1
+            if not ordered or j == i + 1 or groups[j][0] == (MISSING,)
         ]
         small = [i for i, g in enumerate(groups) if sum(g[1]) < min_leaf]
         if small:
@@ -198,7 +205,7 @@ def chaid_tree(
                 groups = _merge(table[p], p in ordered, alpha_merge, min_leaf)
                 if len(groups) < 2:
                     continue
-                factor = _partitions(len(table[p]), len(groups), p in ordered)
+                factor = _partitions(table[p], len(groups), p in ordered)
                 options.append((min(1.0, _p([g[1] for g in groups]) * factor), p, groups))
             if not options:
                 continue

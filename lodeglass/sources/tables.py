@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,13 @@ READERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
 }
 
 
+def _reason(problem: PySparkException | Py4JJavaError) -> str:
+    """The error's stable name, without paths or traces."""
+    if isinstance(problem, PySparkException):
+        return problem.getCondition() or type(problem).__name__
+    return problem.java_exception.getClass().getSimpleName()
+
+
 def ingest(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
     """(datasets by name, outcomes). One bad source never stops the batch.
 
@@ -102,9 +110,8 @@ def ingest(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame],
             df = reader(spark, path)
             probe = df.where(F.col("text_length") > 0) if kind == "text" else df
             empty = probe.limit(1).count() == 0
-        except PySparkException as problem:
-            reason = problem.getCondition() or type(problem).__name__
-            outcomes.append((name, kind, "failed", reason))
+        except (PySparkException, Py4JJavaError) as problem:
+            outcomes.append((name, kind, "failed", _reason(problem)))
             continue
         datasets[name] = df
         outcomes.append((name, kind, "empty" if empty else "ok", None))

@@ -83,14 +83,17 @@ def merge_stats(stats: DataFrame) -> DataFrame:
 
 def utc_instant(ts: Column) -> Column:
     """A zoneless timestamp taken as UTC, whatever the session's zone; watermarks need instants."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
+    second = F.extract(F.lit("SECOND"), ts)
+    return F.make_timestamp_ltz(
+        F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), second, F.lit("UTC")
+    )
 
 
 def utc_reading(instant: Column) -> Column:
     """The inverse of ``utc_instant``."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+    seconds = F.unix_micros(instant).cast("decimal(24,0)") / F.lit(1000000).cast("decimal(7,0)")
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
 
 
 def windowed_counts(
