@@ -7,11 +7,12 @@ its parts in order. Positions must be integers that are unique inside their grou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeglass.functions.text import is_filled, snippet, strip
+from lodeglass.operators.profile import union_all
 
 SPAN = 1000
 
@@ -66,9 +67,11 @@ def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int
 
 def with_empty_projects(parts: DataFrame, projects: DataFrame, column: str, sentence: str) -> DataFrame:
     """Add projects that have no result, with the fixed sentence as their only part."""
-    empty = projects.select("project").distinct().join(parts, "project", "left_anti")
-    return parts.unionByName(
-        empty.select("project", F.lit(0).cast("long").alias("part"), F.lit(sentence).alias(column))
+    listed = projects.select("project").distinct()
+    return listed.join(parts, "project", "full").select(
+        "project",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce(column, F.lit(sentence)).alias(column),
     )
 
 
@@ -161,20 +164,23 @@ def text_blocks(texts: DataFrame, name: Column, text: str, position: Column) ->
     return texts.select(position.alias("position"), block.alias("block"))
 
 
-def context_render(tables: DataFrame, texts: DataFrame | None = None, span: int = SPAN) -> DataFrame:
-    """kind, part, context: table blocks first, then text blocks; parts join directly.
+def context_render(
+    datasets: dict[str, DataFrame], shapes: DataFrame | None, texts: DataFrame | None = None, span: int = SPAN
+) -> DataFrame:
+    """kind, part, context: table blocks (kind 0) before text blocks (kind 1); parts join directly.
 
-    No block at all gives the one fixed sentence.
+    ``shapes`` is the result of ``dataset_shape`` and ``texts`` that of ``text_blocks``. Without any
+    block the context is one fixed sentence.
     """
-    blocks = tables.select(F.lit(0).alias("kind"), "position", "block")
+    blocks = []
+    if datasets:
+        blocks.append(table_blocks(datasets, shapes).select(F.lit(0).alias("kind"), "position", "block"))
     if texts is not None:
-        blocks = blocks.unionByName(texts.select(F.lit(1).alias("kind"), "position", "block"))
-    parts = assemble(blocks, ["kind"], "position", "block", "", "context", span)
-    spark = tables.sparkSession
-    none = spark.range(1).where(~blocks.exists()).select(
-        F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(NO_FILES).alias("context")
-    )
-    return parts.unionByName(none)
+        blocks.append(texts.select(F.lit(1).alias("kind"), "position", "block"))
+    if not datasets and (texts is None or texts.isEmpty()):
+        spark = SparkSession.active()
+        return spark.createDataFrame([(0, 0, NO_FILES)], "kind int, part long, context string")
+    return assemble(union_all(blocks), ["kind"], "position", "block", "", "context", span)
 
 
 def conversation_log(df: DataFrame, conversation: str, seq: str, role: str, content: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeglass.operators.quantiles import ACCURACY, SMALL_ROWS, quantiles_by
+from lodeglass.operators.quantiles import ACCURACY, SMALL_ROWS, bracket_stats, quantile_name, quantiles_in
+from lodeglass.session import materialise
 
 BATCH = 50
 QUARTILES = [0.25, 0.5, 0.75]
@@ -97,7 +98,8 @@ def numeric_profile(
 ) -> DataFrame:
     """column, count, null_count, nan_count, mean, std, min, p25, p50, p75, max.
 
-    NaN cells are counted and left out of the statistics. ``mode='approx'`` needs a single scan.
+    NaN cells are counted and left out of the statistics. ``mode='approx'`` needs a single scan,
+    ``mode='exact'`` a second one that counts the values close to each quartile.
     """
     names = columns or numeric_columns(df)
     quarter = F.array(*[F.lit(q) for q in QUARTILES])
@@ -115,18 +117,24 @@ def numeric_profile(
             "max": F.max(value),
         }
         if mode == "approx":
-            out["q"] = F.percentile_approx(value, quarter, accuracy)
-        return out
+            return {**out, "q": F.percentile_approx(value, quarter, accuracy)}
+        return {**out, **bracket_stats(value, QUARTILES, accuracy)}
 
     base = _one_row_per_column(df, names, stats)
     if mode == "approx":
         cuts = [F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
-        joined = base
     else:
-        found = quantiles_by(melt(df, names), ["column"], "value", QUARTILES, "exact", small_rows, accuracy)
-        joined = base.join(found.drop("n"), "column", "left")
-        cuts = [F.col(q).alias(n) for q, n in (("q0_25", "p25"), ("q0_5", "p50"), ("q0_75", "p75"))]
-    return joined.select("column", "count", "null_count", "nan_count", "mean", "std", "min", *cuts, "max")
+        base = materialise(base)
+        values = melt(df, names).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        cells = base.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        if cells <= small_rows:
+            found = values.groupBy("column").agg(F.percentile("value", quarter).alias("q"))
+            found = found.select("column", *[F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(QUARTILES)])
+        else:
+            found = quantiles_in(values, ["column"], "value", base, QUARTILES, accuracy).drop("n")
+        base = base.join(found, "column", "left")
+        cuts = [F.col(quantile_name(p)).alias(n) for p, n in zip(QUARTILES, ("p25", "p50", "p75"))]
+    return base.select("column", "count", "null_count", "nan_count", "mean", "std", "min", *cuts, "max")
 
 
 def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:

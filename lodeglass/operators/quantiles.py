@@ -8,7 +8,7 @@ lumps the rest into gap counts, and a distributed running total picks the exact
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.operators.joins import join_on
@@ -53,62 +53,77 @@ def quantiles_by(
     elif is_small(kept, small_rows):
         found = kept.groupBy(*group).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("_q"))
     else:
-        return _distributed(kept, group, probs, accuracy)
+        keys = group or ["_all"]
+        kept = kept if group else kept.withColumn("_all", F.lit(1))
+        stats = bracket_stats(F.col("_v"), probs, accuracy)
+        brackets = kept.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
+        return quantiles_in(kept, keys, "_v", brackets, probs, accuracy).select(*group, "n", *names)
     return found.select(*group, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
 
 
-def _distributed(kept: DataFrame, group: list[str], probs: list[float], accuracy: int) -> DataFrame:
-    keys = group or ["_all"]
-    if not group:
-        kept = kept.withColumn("_all", F.lit(1))
-
-    # Pass 1: size, extremes and a bracket of twice the sketch error around each probability.
+def _reach(probs: list[float], accuracy: int) -> tuple[list[float], list[float]]:
+    """Twice the sketch error to either side of each probability."""
     slack = 2.0 / accuracy
-    low = [max(p - slack, 0.0) for p in probs]
-    high = [min(p + slack, 1.0) for p in probs]
+    return [max(p - slack, 0.0) for p in probs], [min(p + slack, 1.0) for p in probs]
+
+
+def bracket_stats(value: Column, probs: list[float], accuracy: int = ACCURACY) -> dict[str, Column]:
+    """Pass 1, as aggregates that fit into any scan: size, extremes and sketched bracket ends."""
+    low, high = _reach(probs, accuracy)
     ends = F.array(*[F.lit(e) for e in low + high])
-    brackets = kept.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("_v", ends, accuracy).alias("_ends"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
+    return {
+        "_n": F.count(value),
+        "_min": F.min(value),
+        "_max": F.max(value),
+        "_ends": F.percentile_approx(value, ends, accuracy),
+    }
+
+
+def quantiles_in(
+    kept: DataFrame, keys: list[str], value: str, brackets: DataFrame, probs: list[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Pass 2: the exact quantiles, given ``bracket_stats`` per key of the very same rows.
+
+    ``probs`` must be sorted. Values must be filled numbers.
+    """
     k = len(probs)
+    low, high = _reach(probs, accuracy)
     # Small groups keep all their values; so do probabilities close to either end.
-    whole = F.col("n") <= accuracy
+    whole = F.col("_n") <= accuracy
     lows = F.array(*[F.when(whole | F.lit(low[i] <= 0), F.col("_min")).otherwise(F.col("_ends")[i]) for i in range(k)])
     highs = F.array(
         *[F.when(whole | F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_ends")[k + i]) for i in range(k)]
     )
-    brackets = materialise(brackets.select(*keys, lows.alias("_lo"), highs.alias("_hi")))
+    brackets = materialise(brackets.where("_n > 0").select(*keys, lows.alias("_lo"), highs.alias("_hi")))
 
-    # Pass 2: count the values inside brackets one by one and those in a gap together. A gap is keyed by
-    # the start of the bracket above it and sorts before that bracket, because _in is false there.
-    tagged = join_on(kept, brackets, keys)
+    # Count the values inside brackets one by one and those in a gap together. A gap is keyed by the
+    # start of the bracket above it and sorts before that bracket, because _in is false there.
+    v = F.col(value)
     inside = F.lit(False)
     below = F.lit(None).cast("double")
     for i in range(k - 1, -1, -1):
-        inside = inside | F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i])
-        below = F.when(F.col("_v") < F.col("_lo")[i], F.col("_lo")[i]).otherwise(below)
+        inside = inside | v.between(F.col("_lo")[i], F.col("_hi")[i])
+        below = F.when(v < F.col("_lo")[i], F.col("_lo")[i]).otherwise(below)
     counted = (
-        tagged.select(
+        join_on(kept.select(*keys, value), brackets, keys)
+        .select(
             *keys,
             inside.alias("_in"),
-            F.when(inside, F.col("_v")).otherwise(F.coalesce(below, F.lit(float("inf")))).alias("_v"),
+            F.when(inside, v).otherwise(F.coalesce(below, F.lit(float("inf")))).alias("_v"),
         )
         .groupBy(*keys, "_in", "_v")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_c"))
     )
     order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
-    summed = running_total(counted, order, "_n", "_upto")
+    summed = running_total(counted, order, "_c", "_upto")
 
-    base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("n"))
+    base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
     located = join_on(summed, materialise(base), keys).select(
         *keys,
         "n",
         "_v",
         "_in",
-        (F.col("_upto") - F.col("_n") - F.col("_base")).alias("_from"),
+        (F.col("_upto") - F.col("_c") - F.col("_base")).alias("_from"),
         (F.col("_upto") - F.col("_base")).alias("_to"),
     )
     picks = []
@@ -125,6 +140,6 @@ def _distributed(kept: DataFrame, group: list[str], probs: list[float], accuracy
         a, c = F.col(f"_a{i}"), F.col(f"_b{i}")
         exact = F.when(share == 0, a).otherwise(a * (1 - share) + c * share)
         # A rank outside its bracket would leave a pick empty: fail loudly, never return a wrong value.
-        checked = F.when(a.isNull() | c.isNull(), F.raise_error(F.lit("quantile rank left its bracket")).cast("double"))
-        out.append(checked.otherwise(exact).alias(quantile_name(p)))
-    return picked.select(*group, "n", *out)
+        lost = F.raise_error(F.lit("quantile rank left its bracket")).cast("double")
+        out.append(F.when(a.isNull() | c.isNull(), lost).otherwise(exact).alias(quantile_name(p)))
+    return picked.select(*keys, "n", *out)

@@ -144,7 +144,7 @@ def outlier_fences(
 def _fenced(df: DataFrame, columns: list[str], fences: DataFrame, keep: list[str]) -> DataFrame:
     keys = [c for c in fences.columns if c not in ("low", "high")]
     kept = list(dict.fromkeys([*keep, *[k for k in keys if k != "column"]]))
-    values = melt(df, columns, kept).where(~F.isnan("value"))
+    values = melt(df, columns, kept).where(F.col("value").isNotNull() & ~F.isnan("value"))
     return join_on(values, fences, keys)
 
 

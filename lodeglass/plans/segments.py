@@ -71,11 +71,12 @@ def segment_kmeans(
     df: DataFrame, key: str, columns: list[str], k: int, seed: int = 42, max_iter: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """(key, cluster) for every row and (cluster, n, centre) for the k clusters."""
-    points = _features(df, key, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    model: KMeansModel = KMeans(k=k, seed=seed, maxIter=max_iter).fit(points)
+    points = _features(df, key, columns)
+    kept = points.persist(StorageLevel.MEMORY_AND_DISK)
+    model: KMeansModel = KMeans(k=k, seed=seed, maxIter=max_iter).fit(kept)
     sizes = model.summary.clusterSizes
-    points.unpersist()
+    kept.unpersist()
     rows = [(i, int(sizes[i]), [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     centres = df.sparkSession.createDataFrame(rows, "cluster int, n long, centre array<double>")
-    assigned = model.transform(_features(df, key, columns)).select("key", F.col("prediction").alias("cluster"))
+    assigned = model.transform(points).select("key", F.col("prediction").alias("cluster"))
     return assigned, centres

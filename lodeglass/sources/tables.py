@@ -73,9 +73,14 @@ def text_ingest(df: DataFrame, name: Column, text: str, file_type: Column | None
     )
 
 
-READERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
+READERS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     ".csv": ("tabular", read_csv),
-    ".parquet": ("tabular", lambda spark, path: spark.read.parquet(path)),
+    ".parquet": ("tabular", read_parquet),
     ".json": ("tabular", read_json),
     ".txt": ("text", read_text_files),
     ".md": ("text", read_text_files),
@@ -89,9 +94,13 @@ def _reason(problem: PySparkException | Py4JJavaError) -> str:
     return problem.java_exception.getClass().getSimpleName()
 
 
-def ingest(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+def ingest(
+    spark: SparkSession, paths: list[str], schemas: dict[str, T.StructType] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """(datasets by name, outcomes). One bad source never stops the batch.
 
+    ``schemas`` by name spares CSV and JSON sources the extra scan that infers their types.
+
     Outcomes are (name, kind, status, error) with status ok, empty, failed or unsupported. A text
     counts as ok when it has any character. Two sources of one name are an error.
     """
@@ -107,7 +116,8 @@ def ingest(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame],
             continue
         kind, reader = READERS[suffix]
         try:
-            df = reader(spark, path)
+            known = (schemas or {}).get(name)
+            df = reader(spark, path) if known is None else reader(spark, path, known)
             probe = df.where(F.col("text_length") > 0) if kind == "text" else df
             empty = probe.limit(1).count() == 0
         except (PySparkException, Py4JJavaError) as problem:

@@ -242,9 +242,14 @@ def crosstab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    """One row per sold part with its brand: the sales shrink to parts before they are joined."""
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("revenue"),
+        F.sum("l_quantity").alias("quantity"),
+        F.count("*").alias("n"),
+    )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return sold.join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
 @query(
@@ -260,9 +265,9 @@ FROM t""",
 )
 def compare_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = {
-        "revenue": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"),
-        "quantity": F.sum("l_quantity"),
-        "n": F.count("*"),
+        "revenue": F.sum("revenue").cast("double"),
+        "quantity": F.sum("quantity"),
+        "n": F.sum("n"),
     }
     sold = _sold_parts(spark, sf_dir)
     return rounded(statistics.compare_items(sold, "p_brand", "l_partkey", metrics, "revenue"), "share", digits=6)
@@ -277,7 +282,7 @@ SELECT category, item, metric, row_number() OVER (PARTITION BY category ORDER BY
 FROM t QUALIFY rank <= 3""",
 )
 def top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantity = F.sum(F.col("l_quantity").cast("long"))
+    quantity = F.sum("quantity").cast("long")
     return statistics.top_items(_sold_parts(spark, sf_dir), "p_brand", "l_partkey", quantity, 3)
 
 

@@ -449,4 +449,4 @@ def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasets = {t: table(spark, sf_dir, t) for t in TABLES}
     texts = table(spark, sf_dir, "documents")
     named = documents.text_blocks(texts, F.concat(F.lit("doc_"), "doc_id"), "text", F.col("doc_id"))
-    return documents.context_render(documents.table_blocks(datasets, dataset_shape(datasets)), named)
+    return documents.context_render(datasets, dataset_shape(datasets), named)

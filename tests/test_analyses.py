@@ -220,7 +220,8 @@ def test_digest_and_empty_projects(spark):
 
 def test_context_without_files(spark):
     none = spark.createDataFrame([], "position long, block string")
-    assert [r["context"] for r in documents.context_render(none).collect()] == ["No data files loaded."]
+    for texts in (None, none):
+        assert [r["context"] for r in documents.context_render({}, None, texts).collect()] == ["No data files loaded."]
 
 
 # ---- tree and segments -------------------------------------------------------------------------
