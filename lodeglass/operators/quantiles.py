@@ -3,19 +3,22 @@
 ``percentile`` keeps every distinct value of a group in one buffer. That is used only where the
 whole input is known to be small. Beyond that: one pass brackets each wanted rank with
 ``percentile_approx``, a second pass counts values inside the brackets (a sliver of the table) and
-lumps the rest into gap counts, and a distributed running total picks the exact order statistics.
+lumps the rest into gap counts, and a running total picks the exact order statistics: a window where
+the counted sliver is seen to be small, range partitions where it is not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import running_total
 from lodeglass.session import materialise
 
 SMALL_ROWS = 1_000_000
+WINDOW_ROWS = 200_000
 ACCURACY = 10_000
 
 
@@ -114,18 +117,18 @@ def quantiles_in(
         .groupBy(*keys, "_in", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
-    summed = running_total(counted, order, "_c", "_upto")
-
-    base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
-    located = join_on(summed, materialise(base), keys).select(
-        *keys,
-        "n",
-        "_v",
-        "_in",
-        (F.col("_upto") - F.col("_c") - F.col("_base")).alias("_from"),
-        (F.col("_upto") - F.col("_base")).alias("_to"),
-    )
+    counted = materialise(counted)
+    if is_small(counted, WINDOW_ROWS):
+        run = Window.partitionBy(*keys).orderBy("_v", "_in").rowsBetween(Window.unboundedPreceding, 0)
+        located = counted.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+        located = located.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    else:
+        order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
+        summed = running_total(counted, order, "_c", "_upto")
+        base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
+        located = join_on(summed, materialise(base), keys).withColumns(
+            {"_to": F.col("_upto") - F.col("_base"), "_from": F.col("_upto") - F.col("_c") - F.col("_base")}
+        )
     picks = []
     for i, p in enumerate(probs):
         rank = (F.col("n") - 1) * F.lit(float(p))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.plans import chaid, segments
-from lodeglass.session import scratch_path
+from lodeglass.session import materialise, scratch_path
 from lodeglass.streaming import incremental
 from lodeglass.workload.registry import query, rounded, table
 
@@ -61,8 +61,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a few counts of their text and a yes/no target: is it long?"""
-    return table(spark, sf_dir, "documents").select(
+    """Documents with a few counts of their text and a yes/no target: is it long?
+
+    Written once: the tree passes over its rows several times and should not read the texts again.
+    """
+    counted = table(spark, sf_dir, "documents").select(
         "doc_id",
         "lang",
         "source",
@@ -71,6 +74,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_count("text", F.lit("[#%*]{3}")).alias("n_marks"),
         (F.col("n_chars") > 1500).cast("int").alias("long"),
     )
+    return materialise(counted)
 
 
 PREDICTORS = ["n_lines", "n_stops", "n_marks", "lang"]

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodeglass.operators import ordering, profile, sampling
+from lodeglass.operators import ordering, profile, quantiles, sampling
 from lodeglass.operators.quantiles import quantiles_by
 from lodeglass.plans import overview
 
@@ -108,8 +108,9 @@ def both_ways(df, group, accuracy):
     return [tuple(r) for r in wide], [tuple(r) for r in plain]
 
 
-@pytest.mark.parametrize("accuracy", [100, 10000])
-def test_quantiles_with_skew_and_ties(spark, accuracy):
+@pytest.mark.parametrize("accuracy, window_rows", [(100, 10**6), (100, 0), (10000, 0)])
+def test_quantiles_with_skew_and_ties(spark, monkeypatch, accuracy, window_rows):
+    monkeypatch.setattr(quantiles, "WINDOW_ROWS", window_rows)
     random.seed(7)
     rows = [("hot", float(random.choice([1, 1, 1, 2, 5]))) for _ in range(4000)]
     rows += [(f"g{i % 7}", random.gauss(0, 100)) for i in range(4000)]
