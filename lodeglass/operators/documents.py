@@ -16,12 +16,21 @@ from lodeglass.operators.profile import union_all
 
 SPAN = 1000
 
-# Sentences and headings of the rendered texts.
+# Sentences, headings, labels and line formats of the rendered texts.
 NO_RESULTS = "No analysis results available."
 RESULTS_HEADING = "## Analysis Results Summary"
 NO_PREVIOUS_TASKS = "No previous analysis tasks completed in this session."
 DIGEST_HEADING = "Summary of Previous Tasks:"
 NO_FILES = "No data files loaded."
+FILES_LABEL = "**Files Used:** "
+APPROACH_LABEL = "**Approach:**"
+CODE_LABEL = "**Python Code:**"
+RESULTS_LABEL = "**Results:**"
+INSIGHTS_LABEL = "**Key Insights:**"
+FIGURE_LABEL = "**Figure File:** "
+DIGEST_LINE = "- Task %d: %s..."
+TABLE_BLOCK = "\nFile: %s\n- Columns: %s\n- Shape: (%d, %d)\n"
+TEXT_BLOCK = "\nFile: %s\n- Type: Text Document\n- Snippet: %s\n"
 
 
 def assemble(
@@ -58,7 +67,7 @@ def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int
     The first part carries the heading. Parts join by a line end. See ``with_empty_projects``.
     """
     title = F.substring(F.coalesce(F.col(task), F.lit("N/A")), 1, 60)
-    line = F.concat(F.lit("- Task "), F.col(seq).cast("string"), F.lit(": "), title, F.lit("..."))
+    line = F.format_string(DIGEST_LINE, F.col(seq), title)
     lines = results.select(F.col(project).alias("project"), (F.col(seq) - 1).alias("_at"), line.alias("line"))
     parts = assemble(lines, ["project"], "_at", "line", "\n", "digest", span)
     headed = F.when(F.col("part") == 0, F.concat(F.lit(DIGEST_HEADING + "\n"), "digest"))
@@ -88,10 +97,10 @@ def _figure_lines(results: DataFrame) -> Column:
             continue
         c = F.col(field.name)
         if isinstance(field.dataType, T.ArrayType):
-            lines = F.transform(c, lambda f: F.concat(F.lit("**Figure File:** "), f.cast("string")))
+            lines = F.transform(c, lambda f: F.concat(F.lit(FIGURE_LABEL), f.cast("string")))
             found.append(F.when(F.size(c) > 0, F.array_join(lines, "\n")))
         else:
-            found.append(F.when(is_filled(c.cast("string")), F.concat(F.lit("**Figure File:** "), c.cast("string"))))
+            found.append(F.when(is_filled(c.cast("string")), F.concat(F.lit(FIGURE_LABEL), c.cast("string"))))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
@@ -111,21 +120,19 @@ def results_blocks(results: DataFrame, project: str = "project", seq: str = "seq
     title = F.coalesce(text("task"), F.concat(F.lit("Task "), number))
     files = F.lit(None).cast("string")
     if "files" in have:
-        files = F.when(
-            F.size("files") > 0, F.concat(F.lit("**Files Used:** "), F.array_join("files", ", "))
-        )
+        files = F.when(F.size("files") > 0, F.concat(F.lit(FILES_LABEL), F.array_join("files", ", ")))
     code = F.when(
         is_filled(text("code")),
-        F.concat(F.lit("**Python Code:**\n```python\n"), strip(text("code")), F.lit("\n```")),
+        F.concat(F.lit(CODE_LABEL + "\n```python\n"), strip(text("code")), F.lit("\n```")),
     )
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("### Task "), number, F.lit(": "), title),
         files,
-        _section("**Approach:**", text("approach")),
+        _section(APPROACH_LABEL, text("approach")),
         code,
-        _section("**Results:**", body),
-        _section("**Key Insights:**", text("insights")),
+        _section(RESULTS_LABEL, body),
+        _section(INSIGHTS_LABEL, text("insights")),
         _figure_lines(results),
         F.lit("\n---"),
     )
@@ -145,22 +152,15 @@ def results_markdown(
 def table_blocks(datasets: dict[str, DataFrame], shapes: DataFrame) -> DataFrame:
     """position, block: one block per dataset from its schema and shape."""
     spark = shapes.sparkSession
-    rows = [
-        (i, name, "[" + ", ".join(f"'{c}'" for c in df.columns) + "]")
-        for i, (name, df) in enumerate(datasets.items())
-    ]
+    rows = [(i, name, str(df.columns)) for i, (name, df) in enumerate(datasets.items())]
     listing = spark.createDataFrame(rows, "position long, dataset string, columns string")
-    block = F.format_string(
-        "\nFile: %s\n- Columns: %s\n- Shape: (%d, %d)\n", "dataset", "columns", "n_rows", "n_cols"
-    )
+    block = F.format_string(TABLE_BLOCK, "dataset", "columns", "n_rows", "n_cols")
     return listing.join(shapes, "dataset").select("position", block.alias("block"))
 
 
 def text_blocks(texts: DataFrame, name: Column, text: str, position: Column) -> DataFrame:
     """position, block: one block per document with a 100-character snippet."""
-    block = F.concat(
-        F.lit("\nFile: "), name, F.lit("\n- Type: Text Document\n- Snippet: "), snippet(F.col(text), 100), F.lit("\n")
-    )
+    block = F.format_string(TEXT_BLOCK, name, snippet(F.col(text), 100))
     return texts.select(position.alias("position"), block.alias("block"))
 
 

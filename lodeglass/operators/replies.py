@@ -14,7 +14,8 @@ MANUAL_GUIDANCE = "Manually define task based on guidance above."
 NO_RESPONSE = "Error: No response from Analyst."
 SECTIONS = ["approach", "code", "results_text", "insights"]
 
-# Line ends and in-line blanks as Python sees them (str.splitlines and \s).
+# Line ends and in-line blanks as Python sees them (str.splitlines and \s), and the
+# forms of task and section headers.
 _BREAKS = r"\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
 _BLANK = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 _TASK_HEADER = rf"{_BLANK}*\**{_BLANK}*Task{_BLANK}*\p{{Nd}}+\.?{_BLANK}*\**:"

@@ -30,7 +30,7 @@ def chart_data_bar(df: DataFrame, x: str, y: Column) -> DataFrame:
 def chart_data_scatter(df: DataFrame, key: str, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """x, y, key of n points chosen by a seeded hash of the key; the same points on every run."""
     return (
-        df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+        df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
         .limit(n)
         .select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(key).alias("key"))
     )

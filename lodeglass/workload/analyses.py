@@ -75,7 +75,12 @@ def chart_data_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.chart_data_bar(table(spark, sf_dir, "lineitem"), "l_returnflag", F.sum(cents))
 
 
-@query("chart_data_scatter")
+@query(
+    "chart_data_scatter",
+    """
+SELECT o_orderdate AS x, o_totalprice AS y, o_orderkey AS key FROM orders
+ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000""",
+)
 def chart_data_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.chart_data_scatter(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate", "o_totalprice")
 

@@ -122,6 +122,21 @@ def risk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaid.risk_policy(texts, _tree(texts), approve_below=0.2, decline_from=0.6)
 
 
+@query(
+    "risk_policy_totals",
+    """
+SELECT count(*) AS n, count(*) FILTER (n_chars > 1500) AS hits FROM documents""",
+)
+def risk_policy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves share out all rows and all hits, each exactly once."""
+    texts = _texts(spark, sf_dir)
+    policy = chaid.risk_policy(texts, _tree(texts), approve_below=0.2, decline_from=0.6)
+    return policy.agg(
+        F.sum("n").alias("n"),
+        F.round(F.sum(F.col("n") * F.col("rate"))).cast("long").alias("hits"),
+    )
+
+
 @query("risk_policy_applied")
 def risk_policy_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its leaf and decision."""
