@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeglass.functions.text import strip
-from lodeglass.operators.profile import quoted, union_all
+from lodeglass.operators.profile import melt, quoted, union_all
 from lodeglass.operators.quantiles import quantile_name, quantiles_by
 from lodeglass.session import materialise
 
@@ -33,18 +34,25 @@ def _alive(df: DataFrame) -> DataFrame:
     return df.where(F.col(ALIVE))
 
 
-def _fill_value(df: DataFrame, column: str, how: str) -> object:
-    """The statistic as one value; each is a single aggregate row."""
-    rows = _alive(df).where(quoted(column).isNotNull())
+def _cuts(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """Quantiles of several columns at once: one row per column that has any value."""
+    rows = quantiles_by(melt(_alive(df), columns), ["column"], "value", probs).collect()
+    return {row["column"]: [row[quantile_name(p)] for p in probs] for row in rows}
+
+
+def _fill_values(df: DataFrame, columns: list[str], how: str) -> dict[str, object]:
+    """The filling value per column; a column without any value has none."""
     if how == "median":
-        found = quantiles_by(rows, [], column, [0.5]).first()
-        return None if found is None else found[quantile_name(0.5)]
+        return {c: cut[0] for c, cut in _cuts(df, columns, [0.5]).items()}
     if how == "mean":
-        return rows.agg(F.avg(quoted(column))).first()[0]
+        return _alive(df).agg(*[F.avg(quoted(c)).alias(c) for c in columns]).first().asDict()
     if how == "mode":
-        counts = rows.groupBy(quoted(column).alias("v")).agg(F.count("*").alias("n"))
-        best = counts.orderBy(F.col("n").desc(), F.col("v")).limit(1).first()
-        return None if best is None else best["v"]
+        out = {}
+        for c in columns:
+            counts = _alive(df).where(quoted(c).isNotNull()).groupBy(quoted(c).alias("v")).agg(F.count("*").alias("n"))
+            best = counts.orderBy(F.col("n").desc(), F.col("v")).limit(1).first()
+            out[c] = None if best is None else best["v"]
+        return out
     raise ValueError(f"unknown fill {how!r}")
 
 
@@ -59,26 +67,27 @@ def _new_cells(df: DataFrame, step: Step) -> dict[str, Callable[[Column], Column
     if step.kind == "cast":
         return dict.fromkeys(step.columns, lambda c: c.try_cast(options["type"]))
     if step.kind == "fill":
-        out = {}
-        for name in step.columns:
-            value = options["value"] if "value" in options else _fill_value(df, name, options["with"])
-            kind = df.schema[name].dataType
-            out[name] = lambda c, v=value, k=kind: F.coalesce(c, F.lit(v).cast(k))
-        return out
+        values = (
+            dict.fromkeys(step.columns, options["value"])
+            if "value" in options
+            else _fill_values(df, step.columns, options["with"])
+        )
+        return {name: _filler(value, df.schema[name].dataType) for name, value in values.items()}
     if step.kind == "winsorise":
-        out = {}
-        probs = [options["low"], options["high"]]
-        for name in step.columns:
-            cuts = quantiles_by(_alive(df), [], name, probs).first()
-            if cuts is None:
-                continue
-            kind = df.schema[name].dataType
-            low, high = (F.lit(cuts[quantile_name(p)]).cast(kind) for p in probs)
-            out[name] = lambda c, a=low, b=high: F.when(c.isNotNull(), F.least(F.greatest(c, a), b))
-        return out
+        cuts = _cuts(df, step.columns, sorted([options["low"], options["high"]]))
+        return {name: _clamp(low, high, df.schema[name].dataType) for name, (low, high) in cuts.items()}
     raise ValueError(f"unknown cleaning step {step.kind!r}")
 
 
+def _filler(value: object, kind: T.DataType) -> Callable[[Column], Column]:
+    return lambda c: F.coalesce(c, F.lit(value).cast(kind))
+
+
+def _clamp(low: float, high: float, kind: T.DataType) -> Callable[[Column], Column]:
+    ends = F.lit(low).cast(kind), F.lit(high).cast(kind)
+    return lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, ends[0]), ends[1]))
+
+
 def _differs(kind: str, before: Column, after: Column) -> Column:
     """A cast changes the cells it cannot read; every other step those that come out different."""
     same = before.isNull() | after.isNotNull() if kind == "cast" else before.eqNullSafe(after)

@@ -25,6 +25,14 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     ).csv(path)
 
 
+def export_tables(datasets: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Every table as CSV under its own name; returns the paths by name."""
+    paths = {name: f"{folder}/{name}" for name in datasets}
+    for name, df in datasets.items():
+        export_csv(df, paths[name])
+    return paths
+
+
 def export_profiles_json(profile: DataFrame, path: str) -> None:
     """A long profile as JSON lines; numbers stay numbers, nulls are written out."""
     profile.write.option("ignoreNullFields", False).json(path)

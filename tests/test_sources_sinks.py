@@ -130,3 +130,9 @@ def test_scratch_paths_are_new(spark):
 def test_materialise_freezes_rows(spark):
     df = materialise(spark.range(100).withColumn("r", F.rand()))
     assert df.collect() == df.collect()
+
+
+def test_tables_are_exported_under_their_names(spark, tmp_path):
+    tables = {"a": spark.range(3), "b": spark.range(2).select(F.lit("x").alias("s"))}
+    paths = exports.export_tables(tables, str(tmp_path / "all"))
+    assert {n: sources.read_csv(spark, p, tables[n].schema).count() for n, p in paths.items()} == {"a": 3, "b": 2}
