@@ -17,6 +17,7 @@ from lodeglass.operators.quantiles import ACCURACY, SMALL_ROWS, bracket_stats, q
 from lodeglass.session import materialise
 
 BATCH = 50
+SKETCH_ACCURACY = 2_000  # approximate quartiles are off by at most one rank in 2,000
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -94,7 +95,7 @@ def numeric_profile(
     columns: list[str] | None = None,
     mode: str = "exact",
     small_rows: int = SMALL_ROWS,
-    accuracy: int = ACCURACY,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """column, count, null_count, nan_count, mean, std, min, p25, p50, p75, max.
 
@@ -102,6 +103,7 @@ def numeric_profile(
     ``mode='exact'`` a second one that counts the values close to each quartile.
     """
     names = columns or numeric_columns(df)
+    accuracy = accuracy or (SKETCH_ACCURACY if mode == "approx" else ACCURACY)
     quarter = F.array(*[F.lit(q) for q in QUARTILES])
 
     def stats(c: Column) -> dict[str, Column]:
