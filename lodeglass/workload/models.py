@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeglass.operators.profile import n_unique
 from lodeglass.plans import chaid, segments
 from lodeglass.session import materialise, scratch_path
 from lodeglass.streaming import incremental
@@ -144,6 +145,87 @@ def risk_policy_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaid.apply_policy(texts, "doc_id", _tree(texts), approve_below=0.2, decline_from=0.6)
 
 
+# A tree that SQL can follow: three classes and yes/no predictors leave nothing to merge and two
+# degrees of freedom, whose tail is exp(-x / 2).
+SPLIT_SQL = """
+t AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 2500 THEN 'middle' ELSE 'long' END AS size,
+             CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END AS english,
+             CASE WHEN regexp_matches(text, '[#%*]{3}') THEN 'yes' ELSE 'no' END AS marked,
+             CASE WHEN len(string_split(text, chr(10))) > 8 THEN 'yes' ELSE 'no' END AS tall FROM documents),
+l AS (SELECT 'english' AS p, english AS c, size FROM t UNION ALL SELECT 'marked', marked, size FROM t
+      UNION ALL SELECT 'tall', tall, size FROM t),
+o AS (SELECT p, c, size, count(*) AS o FROM l GROUP BY ALL),
+r AS (SELECT p, c, sum(o)::DOUBLE AS r FROM o GROUP BY ALL), k AS (SELECT p, size, sum(o) AS k FROM o GROUP BY ALL),
+x AS (SELECT r.p, sum((coalesce(o, 0) - r * k / n) ** 2 / (r * k / n)) AS x, count(DISTINCT r.c) AS kinds
+      FROM r JOIN k ON r.p = k.p CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM t)
+      LEFT JOIN o ON o.p = r.p AND o.c = r.c AND o.size = k.size GROUP BY r.p),
+best AS (SELECT p, exp(-x / 2) AS adj_p FROM x WHERE kinds = 2 AND exp(-x / 2) <= 0.05 ORDER BY x DESC, p LIMIT 1),
+leaf AS (SELECT row_number() OVER (ORDER BY c) AS leaf_id, l.p, c, adj_p, count(*) AS n,
+                count(*) FILTER (size = 'long') / count(*)::DOUBLE AS rate
+         FROM l JOIN best ON l.p = best.p GROUP BY l.p, c, adj_p)"""
+
+
+def _sized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def yes(condition: Column) -> Column:
+        return F.when(condition, "yes").otherwise("no")
+
+    size = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 2500, "middle").otherwise("long")
+    return materialise(
+        table(spark, sf_dir, "documents").select(
+            "doc_id",
+            size.alias("size"),
+            yes(F.col("lang") == "en").alias("english"),
+            yes(F.rlike("text", F.lit("[#%*]{3}"))).alias("marked"),
+            yes(F.size(F.split("text", "\n")) > 8).alias("tall"),
+        )
+    )
+
+
+def _split(texts: DataFrame) -> chaid.Tree:
+    return chaid.chaid_tree(texts, "size", "long", ["english", "marked", "tall"], max_depth=1, min_leaf=1)
+
+
+@query(
+    "chaid_split",
+    f"""
+WITH {SPLIT_SQL}
+SELECT 0 AS node_id, NULL::INT AS parent_id, 0 AS depth, 'all' AS path, NULL::VARCHAR AS split_column,
+       '' AS categories, count(*) AS n, round(count(*) FILTER (size = 'long') / count(*)::DOUBLE, 6) AS rate,
+       NULL::DOUBLE AS adj_p FROM t
+UNION ALL SELECT leaf_id::INT, 0, 1, p || ' in {{' || c || '}}', p, c, n, round(rate, 6), round(adj_p, 12) FROM leaf""",
+)
+def chaid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _sized_texts(spark, sf_dir)
+    nodes = chaid.tree_frame(texts, _split(texts)).withColumn("categories", F.array_join("categories", ", "))
+    return rounded(rounded(nodes, "rate", digits=6), "adj_p", digits=12)
+
+
+@query(
+    "risk_policy_split",
+    f"""
+WITH {SPLIT_SQL}
+SELECT leaf_id::INT AS leaf_id, p || ' in {{' || c || '}}' AS path, n, round(rate, 6) AS rate,
+       CASE WHEN rate < 0.1 THEN 'approve' WHEN rate >= 0.3 THEN 'decline' ELSE 'review' END AS decision FROM leaf""",
+)
+def risk_policy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _sized_texts(spark, sf_dir)
+    return rounded(chaid.risk_policy(texts, _split(texts), approve_below=0.1, decline_from=0.3), "rate", digits=6)
+
+
+@query(
+    "risk_policy_split_applied",
+    f"""
+WITH {SPLIT_SQL},
+d AS (SELECT doc_id, unnest(['english', 'marked', 'tall']) AS p, unnest([english, marked, tall]) AS c FROM t)
+SELECT doc_id AS key, leaf_id::INT AS leaf_id,
+       CASE WHEN rate < 0.1 THEN 'approve' WHEN rate >= 0.3 THEN 'decline' ELSE 'review' END AS decision
+FROM d JOIN leaf USING (p, c)""",
+)
+def risk_policy_split_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _sized_texts(spark, sf_dir)
+    return chaid.apply_policy(texts, "doc_id", _split(texts), approve_below=0.1, decline_from=0.3)
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 
@@ -171,10 +253,18 @@ def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_profiled(spark, sf_dir).drop("approx_unique"), "mean", "std")
 
 
-@query("incremental_unique")
+@query(
+    "incremental_unique",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) > 0 AS close FROM events"
+        for c in ["event_id", "user_id", "value"]
+    ),
+)
 def incremental_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct counts estimated from the merged sketches."""
-    return _profiled(spark, sf_dir).select("column", "n", "approx_unique")
+    """Are the distinct counts of the merged sketches within 5 % of the exact ones?"""
+    exact = n_unique(table(spark, sf_dir, "events"), ["event_id", "user_id", "value"])
+    both = _profiled(spark, sf_dir).join(exact, "column")
+    return both.select("column", "n", (F.abs(F.col("approx_unique") / F.col("n_unique") - 1) <= 0.05).alias("close"))
 
 
 @query(
