@@ -55,7 +55,8 @@ def test_histogram_edges(spark):
 
 
 def test_linear_fit_constant_x(spark):
-    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0)], "g string, x double, y double")
+    rows = [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
     got = {r["group"]: r for r in statistics.linear_fit(df, F.col("x"), F.col("y"), F.col("g")).collect()}
     assert got["a"]["slope"] is None and got["a"]["n"] == 2
     assert (got["b"]["slope"], got["b"]["intercept"], got["b"]["r2"]) == (2.0, 0.0, 1.0)
@@ -284,7 +285,8 @@ def test_missing_category_joins_any_group():
 
 
 def test_kmeans_separates_two_clouds(spark):
-    df = spark.range(200).select("id", (F.when(F.col("id") < 100, 0.0).otherwise(50.0) + F.rand(1)).alias("x"), F.rand(2).alias("y"))
+    centre = F.when(F.col("id") < 100, 0.0).otherwise(50.0)
+    df = spark.range(200).select("id", (centre + F.rand(1)).alias("x"), F.rand(2).alias("y"))
     assigned, centres = segments.segment_kmeans(df, "id", ["x", "y"], k=2)
     got = {r["key"]: r["cluster"] for r in assigned.collect()}
     assert len({got[i] for i in range(100)}) == 1 and len({got[i] for i in range(100, 200)}) == 1

@@ -90,7 +90,10 @@ def result(project, task):
     return (project, task, ["f"], "a", "c", "r", "i")
 
 
-RESULT = "project string, task string, files array<string>, approach string, code string, results_text string, insights string"
+RESULT = (
+    "project string, task string, files array<string>, approach string, code string, "
+    "results_text string, insights string"
+)
 
 
 def test_ledger_numbers_on(spark, tmp_path):
@@ -111,7 +114,8 @@ def test_conversation_content_becomes_text(spark, tmp_path):
 
 
 def test_report_parts_follow_one_another(spark, tmp_path):
-    parts = spark.range(30).select(F.lit("p").alias("project"), F.col("id").alias("part"), F.concat(F.lit("l"), "id").alias("t"))
+    line = F.concat(F.lit("l"), F.col("id").cast("string"))
+    parts = spark.range(30).select(F.lit("p").alias("project"), F.col("id").alias("part"), line.alias("t"))
     path = str(tmp_path / "report")
     exports.report_sink(parts.repartition(6), "t", path, ["project", "part"])
     lines = []
