@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import credentials, prefix_bpe, quality, sharding, token_store
+from lodeglass.llm import credentials, language, prefix_bpe, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, manifest).withColumnRenamed("key", "doc_id")
 
 
+@query("op5_rank_order_language")
+def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the four fifths that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = language.held_out(F.col("doc_id"))
+    profiles = language.learn(documents.where(~apart))
+    found = language.predict(documents.select("doc_id", "text", apart.alias("held_out")), profiles, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdicts of the base rules and of the first policy."""
