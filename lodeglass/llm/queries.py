@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import credentials, language, prefix_bpe, quality, sharding, token_store
+from lodeglass.llm import credentials, html_region, language, prefix_bpe, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_region")
+def op1_html_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, with weights from labelled layouts and from pages with one article element."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    weights = html_region.learn(spark, html_region.labelled_by_article(pages))
+    texts = html_region.extract_pages(pages, weights)
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op2_prefix_bpe")
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
