@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import credentials, decontaminate, html_region, language, prefix_bpe, quality, sharding, token_store
+from lodeglass.llm import (
+    credentials,
+    decontaminate,
+    html_region,
+    language,
+    line_dedup,
+    order_minhash,
+    prefix_bpe,
+    quality,
+    sharding,
+    token_store,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,6 +83,19 @@ def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op7_fuzzy_lines")
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur, equal or nearly so, earlier in the corpus."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents)
+
+
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdicts of the base rules and of the first policy."""
