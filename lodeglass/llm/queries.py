@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,3 +156,9 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules, line dedup, near-dedup, decontamination and encoding, one after the other."""
+    return corpus_pipeline.run(spark, sf_dir)
