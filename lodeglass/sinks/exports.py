@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import number_within
+from lodeglass.operators.profile import quoted
 from lodeglass.sources.tables import NULL_TOKEN
 
 LEDGER_SCHEMA = (
@@ -17,19 +21,54 @@ LEDGER_SCHEMA = (
 CONVERSATION_SCHEMA = "conv_id long, seq long, role string, content string"
 
 
+def as_cells(df: DataFrame) -> DataFrame:
+    """One line per row whatever the cells hold: line ends (and backslashes) in texts are escaped, nested
+    values are JSON, binary ones base 64.
+
+    ``sources.tables.read_exported_csv`` undoes it. Escaped line ends keep the files splittable.
+    """
+
+    def cell(field: T.StructField) -> Column:
+        c = quoted(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.to_json(c).alias(field.name)
+        if isinstance(field.dataType, T.BinaryType):
+            return F.base64(c).alias(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            return c
+        for plain, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+            c = F.replace(c, F.lit(plain), F.lit(escaped))
+        return c.alias(field.name)
+
+    return df.select(*[cell(f) for f in df.schema])
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` funnels everything through one task: small tables only."""
-    out = df.coalesce(1) if single_file else df
+    """CSV with a header, cells as in ``as_cells``.
+
+    ``single_file`` funnels everything through one task: small tables only.
+    """
+    cells = as_cells(df)
+    out = cells.coalesce(1) if single_file else cells
     out.write.option("header", True).option("nullValue", NULL_TOKEN).option("emptyValue", '""').option(
         "escape", '"'
     ).csv(path)
 
 
 def export_tables(datasets: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Every table as CSV under its own name; returns the paths by name."""
+    """Every table as CSV under its own name; returns the paths by name.
+
+    A table that cannot be written does not stop the others; all failures are raised together at the end.
+    """
     paths = {name: f"{folder}/{name}" for name in datasets}
+    failed: dict[str, str] = {}
     for name, df in datasets.items():
-        export_csv(df, paths[name])
+        try:
+            export_csv(df, paths[name])
+        except (PySparkException, Py4JJavaError) as problem:
+            failed[name] = str(problem).splitlines()[0]
+    if failed:
+        raise RuntimeError(f"not exported: {failed}")
     return paths
 
 

@@ -27,10 +27,49 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path)
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def read_exported_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``sinks.exports.export_csv`` wrote, with line ends in texts and nested values restored."""
+    flat = T.StructType([T.StructField(f.name, _cell_type(f.dataType)) for f in schema])
+
+    def restored(field: T.StructField) -> Column:
+        c = _quoted(field.name)
+        if isinstance(field.dataType, T.StringType):
+            # between escaped backslashes, a backslash and a letter stand for a line end
+            parts = F.transform(
+                F.split(c, r"\\\\", -1),
+                lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+            )
+            return F.array_join(parts, "\\").alias(field.name)
+        if isinstance(field.dataType, T.BinaryType):
+            return F.unbase64(c).alias(field.name)
+        if _cell_type(field.dataType) != field.dataType:
+            return F.from_json(c, field.dataType).alias(field.name)
+        return c
+
+    return read_csv(spark, path, flat).select(*[restored(f) for f in schema])
+
+
+def _cell_type(kind: T.DataType) -> T.DataType:
+    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+    return T.StringType() if nested else kind
+
+
 def csv_scan(
     spark: SparkSession, path: str, schema: T.StructType, header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine). The quarantine is (source, raw_line) of rows that do not fit the schema."""
+    rows, parsed = _judged_csv(spark, path, schema, header)
+    good = rows.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
+    bad = rows.where(F.col(CORRUPT).isNotNull() & parsed)
+    return good, bad.select(F.col("_metadata.file_name").alias("source"), F.col(CORRUPT).alias("raw_line"))
+
+
+def _judged_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> tuple[DataFrame, Column]:
+    """All rows, with the raw line of those that do not fit, and a test that is always true but reads every cell."""
     marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     # A row is judged by all its cells, whatever columns the query keeps later. Spark would parse
     # only the kept ones, so both filters look at every field through a test that is always true.
@@ -43,10 +82,7 @@ def csv_scan(
         .schema(marked)
         .csv(path)
     )
-    parsed = F.xxhash64(*[F.col(f.name) for f in schema.fields]) >= F.lit(-(2**63))
-    good = rows.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
-    bad = rows.where(F.col(CORRUPT).isNotNull() & parsed)
-    return good, bad.select(F.col("_metadata.file_name").alias("source"), F.col(CORRUPT).alias("raw_line"))
+    return rows, F.xxhash64(*[_quoted(f.name) for f in schema.fields]) >= F.lit(-(2**63))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -101,28 +137,47 @@ def ingest(
 
     ``schemas`` by name spares CSV and JSON sources the extra scan that infers their types.
 
-    Outcomes are (name, kind, status, error) with status ok, empty, failed or unsupported. A text
-    counts as ok when it has any character. Two sources of one name are an error.
+    Outcomes are (name, kind, status, error, n_rows, n_quarantined) with status ok, quarantined, empty,
+    failed or unsupported. The status is judged over the whole source: every cell is read. Rows of a CSV
+    file that do not fit its schema, given or inferred, are left out of the dataset, counted, and make the
+    status ``quarantined``; ``csv_scan`` with the dataset's schema returns them. A text counts as ok when it
+    has any character. Two sources of one name are an error.
     """
     datasets: dict[str, DataFrame] = {}
-    outcomes: list[tuple[str, str | None, str, str | None]] = []
-    for path in paths:
-        name = posixpath.basename(path.rstrip("/"))
-        if any(name == seen[0] for seen in outcomes):
-            raise ValueError(f"duplicate dataset name {name!r}")
+    outcomes: list[tuple[str, str | None, str, str | None, int | None, int | None]] = []
+    names = [posixpath.basename(path.rstrip("/")) for path in paths]
+    if len(set(names)) < len(names):
+        raise ValueError(f"duplicate dataset names {sorted({n for n in names if names.count(n) > 1})}")
+    for path, name in zip(paths, names):
         suffix = posixpath.splitext(name)[1].lower()
         if suffix not in READERS:
-            outcomes.append((name, None, "unsupported", f"unsupported file type {suffix!r}"))
+            outcomes.append((name, None, "unsupported", f"unsupported file type {suffix!r}", None, None))
             continue
         kind, reader = READERS[suffix]
         try:
             known = (schemas or {}).get(name)
             df = reader(spark, path) if known is None else reader(spark, path, known)
-            probe = df.where(F.col("text_length") > 0) if kind == "text" else df
-            empty = probe.limit(1).count() == 0
+            if suffix == ".csv":
+                rows, every_cell = _judged_csv(spark, path, df.schema, True)
+                fits = F.col(CORRUPT).isNull()
+                n_rows, n_bad = rows.where(every_cell).agg(F.count_if(fits), F.count_if(~fits)).first()
+                df = csv_scan(spark, path, df.schema)[0] if n_bad else df
+            else:
+                n_rows, n_bad = _whole(df, kind), 0
         except (PySparkException, Py4JJavaError) as problem:
-            outcomes.append((name, kind, "failed", _reason(problem)))
+            outcomes.append((name, kind, "failed", _reason(problem), None, None))
             continue
         datasets[name] = df
-        outcomes.append((name, kind, "empty" if empty else "ok", None))
-    return datasets, spark.createDataFrame(outcomes, "name string, kind string, status string, error string")
+        status = "quarantined" if n_bad else "ok" if n_rows else "empty"
+        outcomes.append((name, kind, status, None, n_rows, n_bad))
+    return datasets, spark.createDataFrame(
+        outcomes, "name string, kind string, status string, error string, n_rows long, n_quarantined long"
+    )
+
+
+def _whole(df: DataFrame, kind: str) -> int:
+    """Rows (texts with any character) of a source all of whose cells can be read."""
+    kept = df.where(F.col("text_length") > 0) if kind == "text" else df
+    cells = [_quoted(f.name) for f in kept.schema if "map<" not in f.dataType.simpleString()]
+    read = F.bit_xor(F.xxhash64(*cells)) if cells else F.count(F.lit(1))
+    return kept.agg(F.count(F.lit(1)), read).first()[0]

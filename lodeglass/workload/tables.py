@@ -81,11 +81,12 @@ def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     "multi_file_ingest",
     " UNION ALL ".join(
         f"SELECT '{t}.parquet' AS name, 'tabular' AS kind, "
-        f"CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, NULL::VARCHAR AS error FROM {t}"
+        f"CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, NULL::VARCHAR AS error, "
+        f"count(*) AS n_rows, 0::BIGINT AS n_quarantined FROM {t}"
         for t in TABLES
     )
-    + " UNION ALL SELECT 'absent.parquet', 'tabular', 'failed', 'PATH_NOT_FOUND'"
-    + " UNION ALL SELECT 'notes.docx', NULL, 'unsupported', 'unsupported file type ''.docx'''",
+    + " UNION ALL SELECT 'absent.parquet', 'tabular', 'failed', 'PATH_NOT_FOUND', NULL, NULL"
+    + " UNION ALL SELECT 'notes.docx', NULL, 'unsupported', 'unsupported file type ''.docx''', NULL, NULL",
 )
 def multi_file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [f"{sf_dir}/{t}.parquet" for t in TABLES]
@@ -96,12 +97,43 @@ def multi_file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sinks -------------------------------------------------------------------------------------
 
 
-@query("export_csv", "SELECT * FROM customer")
-def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _exported(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = scratch_path(spark, "export_csv")
-    customer = table(spark, sf_dir, "customer")
-    exports.export_csv(customer, path)
-    return sources.read_csv(spark, path, customer.schema)
+    rows = table(spark, sf_dir, name)
+    exports.export_csv(rows, path)
+    return sources.read_exported_csv(spark, path, rows.schema)
+
+
+@query("export_csv", "SELECT * FROM documents")
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line ends, out and back."""
+    return _exported(spark, sf_dir, "documents")
+
+
+@query("export_csv_numbers", "SELECT * FROM customer")
+def export_csv_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(spark, sf_dir, "customer")
+
+
+@query(
+    "csv_ingest_quarantine",
+    """
+SELECT 'ragged.csv' AS name, 'tabular' AS kind, 'quarantined' AS status, NULL::VARCHAR AS error,
+       count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_rows, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS n_quarantined
+FROM orders""",
+)
+def csv_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a line of ragged files: a third fits the header, the others are short or long."""
+    path = f"{scratch_path(spark, 'ingest')}/ragged.csv"
+    header = "o_orderkey,o_custkey,o_totalprice"
+    key = F.col("o_orderkey")
+    cells = F.concat_ws(",", key, "o_custkey", "o_totalprice")
+    line = F.when(key % 3 == 0, cells).when(key % 3 == 1, key.cast("string")).otherwise(F.concat(cells, F.lit(",x")))
+    # Spark writes the header line into each part file; the one text column is the raw line.
+    lines = table(spark, sf_dir, "orders").select(line.alias(header))
+    lines.write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    _, outcomes = sources.ingest(spark, [path])
+    return outcomes
 
 
 # ---- samples -----------------------------------------------------------------------------------
@@ -234,7 +266,7 @@ def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("numeric_profile", f"WITH t AS ({GAPPY_LINEITEM_SQL}) " + numeric_sql("t", GAPPY_COLUMNS[:5]))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Always by the distributed quantiles, also where the input would fit in one buffer."""
-    return rounded(profile.numeric_profile(gappy_lineitem(spark, sf_dir), small_rows=0), *NUMERIC_STATS)
+    return rounded(profile.numeric_profile(gappy_lineitem(spark, sf_dir)), *NUMERIC_STATS)
 
 
 def _approx_sql() -> str:

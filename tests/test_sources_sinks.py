@@ -140,3 +140,31 @@ def test_tables_are_exported_under_their_names(spark, tmp_path):
     tables = {"a": spark.range(3), "b": spark.range(2).select(F.lit("x").alias("s"))}
     paths = exports.export_tables(tables, str(tmp_path / "all"))
     assert {n: sources.read_csv(spark, p, tables[n].schema).count() for n, p in paths.items()} == {"a": 3, "b": 2}
+
+
+def test_csv_ingest_keeps_the_good_rows_and_counts_the_others(spark, tmp_path):
+    path = write(tmp_path / "ragged.csv", "x,y\n1,2\n3\n4,5,6\n7,8\n")
+    for schemas in ({}, {"ragged.csv": T.StructType.fromDDL("x int, y int")}):
+        datasets, outcomes = sources.ingest(spark, [path], schemas)
+        assert outcomes.first().asDict() == {
+            "name": "ragged.csv", "kind": "tabular", "status": "quarantined", "error": None, "n_rows": 2, "n_quarantined": 2,
+        }
+        assert sorted(map(tuple, datasets["ragged.csv"].collect())) == [(1, 2), (7, 8)]
+    path = write(tmp_path / "typed.csv", "x\n1\noops\n")
+    _, outcomes = sources.ingest(spark, [path], {"typed.csv": T.StructType.fromDDL("x int")})
+    assert tuple(outcomes.first())[2:] == ("quarantined", None, 1, 1)
+
+
+def test_csv_export_of_line_ends_and_nested_cells(spark, tmp_path):
+    rows = [
+        (1, "two\nlines\r\nand \\n a backslash \\", [1.5, None], {"k": 1}, bytearray(b"\x00\xff")),
+        (2, None, None, None, None),
+        (3, "", [], {}, bytearray(b"")),
+        (4, "\\N", [0.1], {"a": None}, bytearray(b"x")),
+    ]
+    df = spark.createDataFrame(rows, "id int, t string, a array<float>, m map<string, int>, b binary")
+    path = str(tmp_path / "cells")
+    exports.export_csv(df, path)
+    back = sources.read_exported_csv(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert spark.read.text(path).count() == len(rows) + spark.read.text(path).where("value like 'id,%'").count()
