@@ -9,23 +9,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Steps of the series or the continued fraction at most; both stop long before that at the sizes below.
+STEPS = 10_000
+#: From this many degrees of freedom on the cube root of x / df is taken as normal, which is then closer
+#: than the double precision of the exact terms.
+NORMAL_FROM = 1_000_000
+
+
 def chi2_tail(x: float | None, df: int | None) -> float | None:
-    """P(X >= x) by the finite sums that hold for whole degrees of freedom."""
+    """P(X >= x): the upper regularised gamma function of df / 2 at x / 2, in a bounded number of steps."""
     if x is None or df is None or df <= 0 or math.isnan(x):
         return None
     if x <= 0:
         return 1.0
-    half = x / 2.0
-    if df % 2 == 0:
-        start, total = 0.0, 0.0
-    else:
-        start, total = 0.5, math.erfc(math.sqrt(half))
-    # Each term is half**a * exp(-half) / gamma(a + 1), taken in logs so that none overflows.
-    a = start
-    while a < df / 2.0:
-        total += math.exp(a * math.log(half) - half - math.lgamma(a + 1.0))
-        a += 1.0
-    return min(total, 1.0)
+    if math.isinf(x):
+        return 0.0
+    if df >= NORMAL_FROM:
+        spread = 2.0 / (9.0 * df)
+        return 0.5 * math.erfc(((x / df) ** (1.0 / 3.0) - (1.0 - spread)) / math.sqrt(2.0 * spread))
+    a, half = df / 2.0, x / 2.0
+    front = math.exp(a * math.log(half) - half - math.lgamma(a))
+    if half < a + 1.0:
+        # lower part by its power series
+        term = total = 1.0 / a
+        for n in range(1, STEPS):
+            term *= half / (a + n)
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, min(1.0, 1.0 - front * total))
+    # upper part by its continued fraction, evaluated forwards
+    tiny = 1e-300
+    b = half + 1.0 - a
+    c, d = 1.0 / tiny, 1.0 / b
+    value = d
+    for n in range(1, STEPS):
+        step = -n * (n - a)
+        b += 2.0
+        d = 1.0 / ((step * d + b) or tiny)
+        c = (b + step / c) or tiny
+        value *= c * d
+        if abs(c * d - 1.0) < 1e-16:
+            break
+    return max(0.0, min(1.0, front * value))
 
 
 @F.pandas_udf(T.DoubleType())

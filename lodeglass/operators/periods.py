@@ -14,8 +14,16 @@ from lodeglass.operators.joins import join_on
 from lodeglass.session import materialise
 
 
+UNITS = ("day", "week", "month", "quarter", "year")
+
+
 def period_totals(df: DataFrame, series: Column, ts: Column, value: Column, unit: str = "month") -> DataFrame:
-    """series, period (date), total; periods without rows between first and last have total 0."""
+    """series, period (date), total; periods without rows between first and last have total 0.
+
+    ``unit`` is day, week, month, quarter or year.
+    """
+    if unit not in UNITS:
+        raise ValueError(f"unit {unit!r} is not one of {', '.join(UNITS)}")
     summed = materialise(
         df.where(ts.isNotNull())
         .groupBy(series.alias("series"), F.date_trunc(unit, ts).cast("date").alias("period"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeglass.operators.quantiles import ACCURACY, SMALL_ROWS, bracket_stats, quantile_name, quantiles_in
+from lodeglass.operators.quantiles import ACCURACY, bracket_stats, quantile_name, quantiles_in
 from lodeglass.session import materialise
 
 BATCH = 50
@@ -94,7 +94,6 @@ def numeric_profile(
     df: DataFrame,
     columns: list[str] | None = None,
     mode: str = "exact",
-    small_rows: int = SMALL_ROWS,
     accuracy: int | None = None,
 ) -> DataFrame:
     """column, count, null_count, nan_count, mean, std, min, p25, p50, p75, max.
@@ -128,12 +127,7 @@ def numeric_profile(
     else:
         base = materialise(base)
         values = melt(df, names).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        cells = base.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        if cells <= small_rows:
-            found = values.groupBy("column").agg(F.percentile("value", quarter).alias("q"))
-            found = found.select("column", *[F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(QUARTILES)])
-        else:
-            found = quantiles_in(values, ["column"], "value", base, QUARTILES, accuracy).drop("n")
+        found = quantiles_in(values, ["column"], "value", base, QUARTILES, accuracy).drop("n")
         base = base.join(found, "column", "left")
         cuts = [F.col(quantile_name(p)).alias(n) for p, n in zip(QUARTILES, ("p25", "p50", "p75"))]
     return base.select("column", "count", "null_count", "nan_count", "mean", "std", "min", *cuts, "max")

@@ -1,32 +1,23 @@
-"""Exact quantiles with linear interpolation, for tables too large for an in-memory value map.
+"""Exact quantiles with linear interpolation, the same way for tables of every size.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is used only where the
-whole input is known to be small. Beyond that: one pass brackets each wanted rank with
-``percentile_approx``, a second pass counts values inside the brackets (a sliver of the table) and
-lumps the rest into gap counts, and a running total picks the exact order statistics: a window where
-the counted sliver is seen to be small, range partitions where it is not.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here one pass brackets each
+wanted rank with ``percentile_approx``, a second pass counts values inside the brackets (a sliver of the
+table) and lumps the rest into gap counts, and a running total over range partitions picks the exact order
+statistics.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import running_total
 from lodeglass.session import materialise
 
-SMALL_ROWS = 1_000_000
-WINDOW_ROWS = 200_000
 ACCURACY = 10_000
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
-    """True when the frame holds at most ``limit`` rows; stops counting soon after that."""
-    return df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
-
-
 def quantile_name(p: float) -> str:
     return "q" + f"{p:.6f}".rstrip("0").rstrip(".").replace(".", "_")
 
@@ -37,7 +28,6 @@ def quantiles_by(
     value: str,
     probs: list[float],
     mode: str = "exact",
-    small_rows: int = SMALL_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group: the group columns, ``n`` and one column per probability.
@@ -53,8 +43,6 @@ def quantiles_by(
         found = kept.groupBy(*group).agg(
             F.count("*").alias("n"), F.percentile_approx("_v", wanted, accuracy).alias("_q")
         )
-    elif is_small(kept, small_rows):
-        found = kept.groupBy(*group).agg(F.count("*").alias("n"), F.percentile("_v", wanted).alias("_q"))
     else:
         keys = group or ["_all"]
         kept = kept if group else kept.withColumn("_all", F.lit(1))
@@ -118,17 +106,12 @@ def quantiles_in(
         .agg(F.count("*").alias("_c"))
     )
     counted = materialise(counted)
-    if is_small(counted, WINDOW_ROWS):
-        run = Window.partitionBy(*keys).orderBy("_v", "_in").rowsBetween(Window.unboundedPreceding, 0)
-        located = counted.withColumn("_to", F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
-        located = located.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
-    else:
-        order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
-        summed = running_total(counted, order, "_c", "_upto")
-        base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
-        located = join_on(summed, materialise(base), keys).withColumns(
-            {"_to": F.col("_upto") - F.col("_base"), "_from": F.col("_upto") - F.col("_c") - F.col("_base")}
-        )
+    order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
+    summed = running_total(counted, order, "_c", "_upto")
+    base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
+    located = join_on(summed, materialise(base), keys).withColumns(
+        {"_to": F.col("_upto") - F.col("_base"), "_from": F.col("_upto") - F.col("_c") - F.col("_base")}
+    )
     picks = []
     for i, p in enumerate(probs):
         rank = (F.col("n") - 1) * F.lit(float(p))

@@ -14,7 +14,7 @@ from lodeglass.functions.distributions import chi2_p_value
 from lodeglass.operators.joins import join_on
 from lodeglass.operators.ordering import number_rows, number_within
 from lodeglass.operators.profile import melt, quoted, union_all
-from lodeglass.operators.quantiles import SMALL_ROWS, quantiles_by
+from lodeglass.operators.quantiles import quantiles_by
 from lodeglass.session import materialise
 
 PAIR_BATCH = 100
@@ -67,11 +67,26 @@ def frequency_counts(df: DataFrame, column: str, top_k: int | None = None) -> Da
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """bin, lo, hi, n over equal-width bins from minimum to maximum; empty bins are kept."""
+    """bin, lo, hi, n over equal-width bins from the least to the greatest finite value; empty bins are kept.
+
+    Infinite values are counted in rows of their own: bin 0 below all others, bin ``bins + 1`` above.
+    """
     value = F.nanvl(quoted(column).cast("double"), F.lit(None).cast("double"))
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    low, high = values.agg(F.min("v"), F.max("v")).first()
+    filled = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    endless = F.abs("v") == F.lit(float("inf"))
+    values = filled.where(~endless)
+    low, high, below, above = filled.agg(
+        F.min(F.when(~endless, F.col("v"))),
+        F.max(F.when(~endless, F.col("v"))),
+        F.count_if(endless & (F.col("v") < 0)),
+        F.count_if(endless & (F.col("v") > 0)),
+    ).first()
     spark = df.sparkSession
+    if below or above:
+        inf = float("inf")
+        ends = [r for r in ((0, -inf, -inf, below), (bins + 1, inf, inf, above)) if r[3]]
+        rest = histogram(values.select(F.col("v").alias(column)), column, bins)
+        return rest.unionByName(spark.createDataFrame(ends, "bin long, lo double, hi double, n long"))
     if low is None:
         return spark.createDataFrame([], "bin long, lo double, hi double, n long")
     if low == high:
@@ -121,13 +136,12 @@ def outlier_fences(
     columns: list[str],
     method: str = "iqr",
     by: list[str] | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """by columns, column, low, high. ``iqr``: quartiles -/+ 1.5 spreads; ``zscore``: mean -/+ 3 deviations."""
     keys = [*(by or []), "column"]
     values = melt(df, columns, by)
     if method == "iqr":
-        cuts = quantiles_by(values, keys, "value", [0.25, 0.75], small_rows=small_rows)
+        cuts = quantiles_by(values, keys, "value", [0.25, 0.75])
         reach = (F.col("q0_75") - F.col("q0_25")) * 1.5
         fences = cuts.select(*keys, (F.col("q0_25") - reach).alias("low"), (F.col("q0_75") + reach).alias("high"))
     elif method == "zscore":
@@ -153,10 +167,9 @@ def outlier_flags(
     columns: list[str],
     method: str = "iqr",
     by: list[str] | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """by columns, column, low, high, n_low, n_high; both comparisons are strict."""
-    fences = outlier_fences(df, columns, method, by, small_rows)
+    fences = outlier_fences(df, columns, method, by)
     return (
         _fenced(df, columns, fences, [])
         .groupBy(*[*(by or []), "column", "low", "high"])
@@ -173,10 +186,9 @@ def outlier_rows(
     columns: list[str],
     method: str = "iqr",
     by: list[str] | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """key, column, value, method of every flagged cell."""
-    fences = outlier_fences(df, columns, method, by, small_rows)
+    fences = outlier_fences(df, columns, method, by)
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     return (
         _fenced(df, columns, fences, [key])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from lodeglass.functions.distributions import chi2_tail
 from lodeglass.operators.profile import melt, quoted
-from lodeglass.operators.quantiles import SMALL_ROWS, quantile_name, quantiles_by
+from lodeglass.operators.quantiles import quantile_name, quantiles_by
 from lodeglass.session import materialise
 
 MISSING = "(missing)"
@@ -55,14 +55,14 @@ class Tree:
 
 
 def categories_of(
-    df: DataFrame, predictors: list[str], bins: int = MAX_CATEGORIES, small_rows: int = SMALL_ROWS
+    df: DataFrame, predictors: list[str], bins: int = MAX_CATEGORIES
 ) -> tuple[dict[str, Column], set[str]]:
     """(category expression per predictor, names of the ordered ones). Numbers are cut at quantiles."""
     numeric = [p for p in predictors if isinstance(df.schema[p].dataType, T.NumericType)]
     cuts: dict[str, list[float]] = {}
     if numeric:
         probs = [i / bins for i in range(1, bins)]
-        found = quantiles_by(melt(df, numeric), ["column"], "value", probs, small_rows=small_rows)
+        found = quantiles_by(melt(df, numeric), ["column"], "value", probs)
         for row in found.collect():
             cuts[row["column"]] = sorted({row[quantile_name(p)] for p in probs})
     out: dict[str, Column] = {}
@@ -164,10 +164,9 @@ def chaid_tree(
     alpha_split: float = 0.05,
     min_leaf: int = 30,
     bins: int = MAX_CATEGORIES,
-    small_rows: int = SMALL_ROWS,
 ) -> Tree:
     """Grow the tree. Ties between predictors go by name, so the result is repeatable."""
-    expressions, ordered = categories_of(df, predictors, bins, small_rows)
+    expressions, ordered = categories_of(df, predictors, bins)
     labelled = df.where(quoted(target).isNotNull())
     cube = materialise(
         labelled.groupBy(
@@ -181,7 +180,11 @@ def chaid_tree(
     classes = [r["_class"] for r in cube.select("_class").distinct().orderBy("_class").limit(101).collect()]
     if len(classes) > 100:
         raise ValueError(f"{target!r} has more than 100 classes")
-    hit = classes.index(str(positive)) if str(positive) in classes else None
+    # The class as Spark writes it: true, not True.
+    wanted = str(positive).lower() if isinstance(positive, bool) else str(positive)
+    if classes and wanted not in classes:
+        raise ValueError(f"{target!r} has no class {wanted!r}")
+    hit = classes.index(wanted) if classes else None
 
     nodes = [Node(0, None, 0, {})]
     frontier = [nodes[0]]

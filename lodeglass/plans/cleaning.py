@@ -45,7 +45,7 @@ def _fill_values(df: DataFrame, columns: list[str], how: str) -> dict[str, objec
     if how == "median":
         return {c: cut[0] for c, cut in _cuts(df, columns, [0.5]).items()}
     if how == "mean":
-        return _alive(df).agg(*[F.avg(quoted(c)).alias(c) for c in columns]).first().asDict()
+        return _alive(df).agg(*[F.avg(F.nanvl(quoted(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first().asDict()
     if how == "mode":
         out = {}
         for c in columns:
@@ -79,13 +79,25 @@ def _new_cells(df: DataFrame, step: Step) -> dict[str, Callable[[Column], Column
     raise ValueError(f"unknown cleaning step {step.kind!r}")
 
 
+def _as(value: object, kind: T.DataType) -> Column:
+    """A value in a column's type; between two integers it is rounded, halves away from zero."""
+    found = F.lit(value)
+    return (F.round(found) if isinstance(kind, T.IntegralType) and isinstance(value, float) else found).cast(kind)
+
+
 def _filler(value: object, kind: T.DataType) -> Callable[[Column], Column]:
-    return lambda c: F.coalesce(c, F.lit(value).cast(kind))
+    return lambda c: F.coalesce(c, _as(value, kind))
 
 
 def _clamp(low: float, high: float, kind: T.DataType) -> Callable[[Column], Column]:
-    ends = F.lit(low).cast(kind), F.lit(high).cast(kind)
-    return lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, ends[0]), ends[1]))
+    """Values beyond the ends become the ends; null and NaN stay."""
+    ends = _as(low, kind), _as(high, kind)
+
+    def clamped(c: Column) -> Column:
+        inner = F.when(c.isNotNull(), F.least(F.greatest(c, ends[0]), ends[1]))
+        return F.when(F.isnan(c), c).otherwise(inner) if isinstance(kind, T.FractionalType) else inner
+
+    return clamped
 
 
 def _differs(kind: str, before: Column, after: Column) -> Column:

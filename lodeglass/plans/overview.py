@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from lodeglass.functions.text import snippet
 from lodeglass.operators.profile import (
-    SMALL_ROWS,
     boolean_profile,
     columns_of,
     dataset_shape,
@@ -53,7 +52,7 @@ def _long(profile: DataFrame, dataset: str, kind: str, numbers: list[str], strin
 
 
 def profile_long(
-    df: DataFrame, dataset: str, mode: str = "approx", small_rows: int = SMALL_ROWS
+    df: DataFrame, dataset: str, mode: str = "approx"
 ) -> DataFrame:
     """One dataset's shape, schema, missing values and statistics by column type, in long form."""
     parts = [
@@ -63,7 +62,7 @@ def profile_long(
     ]
     if numeric_columns(df):
         stats = ["count", "nan_count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-        profile = numeric_profile(df, mode=mode, small_rows=small_rows)
+        profile = numeric_profile(df, mode=mode)
         parts.append(_long(profile, dataset, "numeric", stats, []))
     if columns_of(df, T.StringType):
         stats = ["count", "n_unique", "min_len", "max_len"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeglass.operators.profile import melt, quoted
-from lodeglass.operators.quantiles import SMALL_ROWS, quantile_name, quantiles_by
+from lodeglass.operators.quantiles import quantile_name, quantiles_by
 from lodeglass.session import materialise
 
 FIFTHS = [0.2, 0.4, 0.6, 0.8]
@@ -23,7 +23,6 @@ def segment_quantile(
     ts: str,
     amount: Column,
     probs: list[float] | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """key, recency (days before the last date seen), frequency, monetary, r, f, m, segment.
 
@@ -45,7 +44,7 @@ def segment_quantile(
     # Three rows of cut points, whatever the number of keys.
     cuts = {
         row["column"]: row
-        for row in quantiles_by(melt(measured, names), ["column"], "value", probs, small_rows=small_rows).collect()
+        for row in quantiles_by(melt(measured, names), ["column"], "value", probs).collect()
     }
     scores = {}
     for name in names:

@@ -134,7 +134,7 @@ FROM events JOIN f USING (event_type) GROUP BY ALL""",
 def outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fences per event type, by the distributed quantiles."""
     events = table(spark, sf_dir, "events")
-    return rounded(statistics.outlier_flags(events, ["value"], by=["event_type"], small_rows=0), "low", "high")
+    return rounded(statistics.outlier_flags(events, ["value"], by=["event_type"]), "low", "high")
 
 
 @query(

@@ -33,7 +33,7 @@ SELECT *, r || '' || f || '' || m AS segment FROM s""",
 def segment_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return segments.segment_quantile(
-        orders, "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)"), small_rows=0
+        orders, "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)")
     )
 
 

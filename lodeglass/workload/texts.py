@@ -172,7 +172,7 @@ TEMPLATE = (
     """
 SELECT page_id AS key, 'Problem: why {url} matters' || chr(10) || 'Keep {braces} as they are.' || chr(10) || 'Page '
        || page_id || ' at ' || url || chr(10) || 'Start of the page:' || chr(10)
-       || CASE WHEN length(html) > 1000 THEN left(html, 1000) || '...' ELSE html END || chr(10) || 'End.' AS prompt
+       || html || chr(10) || 'End.' AS prompt
 FROM pages""",
 )
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "problem": F.lit("why {url} matters"),
         "page": F.col("page_id"),
         "url": F.col("url"),
-        "sample": tx.snippet(F.col("html"), 1000),
+        "sample": F.col("html"),
     }
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("key"), tx.fill_template(TEMPLATE, values).alias("prompt")
