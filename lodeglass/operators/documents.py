@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeglass.functions.text import is_filled, snippet, strip
+from lodeglass.operators.joins import join_on
 from lodeglass.operators.profile import union_all
 
 SPAN = 1000
@@ -45,6 +46,13 @@ def assemble(
     return gathered.select(*group, "part", F.array_join(texts, separator).alias(out))
 
 
+def _headed(parts: DataFrame, pieces: DataFrame, out: str, heading: str, span: int) -> DataFrame:
+    """``parts`` of ``pieces`` with the heading on each project's first part, whatever position it starts at."""
+    first = pieces.groupBy("project").agg(F.floor(F.min("_at") / span).cast("long").alias("_first"))
+    titled = F.when(F.col("part") == F.col("_first"), F.concat(F.lit(heading), F.col(out))).otherwise(F.col(out))
+    return join_on(parts, first, ["project"]).withColumn(out, titled).drop("_first")
+
+
 def fragment_concat(
     df: DataFrame, doc: str, seq: str, text: str, mode: str = "paragraphs", span: int = SPAN
 ) -> DataFrame:
@@ -70,8 +78,7 @@ def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int
     line = F.format_string(DIGEST_LINE, F.col(seq), title)
     lines = results.select(F.col(project).alias("project"), (F.col(seq) - 1).alias("_at"), line.alias("line"))
     parts = assemble(lines, ["project"], "_at", "line", "\n", "digest", span)
-    headed = F.when(F.col("part") == 0, F.concat(F.lit(DIGEST_HEADING + "\n"), "digest"))
-    return parts.withColumn("digest", headed.otherwise(F.col("digest")))
+    return _headed(parts, lines, "digest", DIGEST_HEADING + "\n", span)
 
 
 def with_empty_projects(parts: DataFrame, projects: DataFrame, column: str, sentence: str) -> DataFrame:
@@ -142,11 +149,10 @@ def results_blocks(results: DataFrame, project: str = "project", seq: str = "seq
 def results_markdown(
     results: DataFrame, project: str = "project", seq: str = "seq", span: int = SPAN
 ) -> DataFrame:
-    """project, part, markdown. Part 0 carries the heading; parts join by an empty line."""
+    """project, part, markdown. The first part carries the heading; parts join by an empty line."""
     blocks = results_blocks(results, project, seq).withColumn("_at", F.col("seq") - 1)
     parts = assemble(blocks, ["project"], "_at", "block", "\n\n", "markdown", span)
-    headed = F.when(F.col("part") == 0, F.concat(F.lit(RESULTS_HEADING + "\n\n"), "markdown"))
-    return parts.withColumn("markdown", headed.otherwise(F.col("markdown")))
+    return _headed(parts, blocks, "markdown", RESULTS_HEADING + "\n\n", span)
 
 
 def table_blocks(datasets: dict[str, DataFrame], shapes: DataFrame) -> DataFrame:

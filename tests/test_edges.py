@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeglass.functions.distributions import chi2_tail
-from lodeglass.operators import periods, statistics
+from lodeglass.operators import documents, periods, statistics
 from lodeglass.plans.chaid import chaid_tree
 from lodeglass.plans.cleaning import Step, clean_dataset
 
@@ -70,3 +70,10 @@ def test_units_below_a_day_are_refused(spark):
     df = spark.createDataFrame([(1,)], "v int").select(F.current_timestamp().alias("ts"), "v")
     with pytest.raises(ValueError, match="hour"):
         periods.trend(df, F.lit("s"), F.col("ts"), F.col("v"), "hour")
+
+
+def test_headings_stand_on_the_first_part_wherever_it_starts(spark):
+    rows = spark.createDataFrame([("p", 1001, "a"), ("p", 2500, "b"), ("q", 1, "c")], "project string, seq long, task string")
+    got = {(r["project"], r["part"]): r["digest"] for r in documents.task_digest(rows, "project", "seq", "task").collect()}
+    titled = {k for k, v in got.items() if v.startswith(documents.DIGEST_HEADING)}
+    assert titled == {("p", 1), ("q", 0)} and len(got) == 3
