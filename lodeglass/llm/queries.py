@@ -97,7 +97,34 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents)
 
 
-@query("op8_quality_rules")
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(l)::BIGINT AS n_lines, len(regexp_extract_all(t, '\p{Lu}'))::BIGINT AS n_upper
+  FROM d LEFT JOIN covered USING (r)),
+f AS (
+  SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+         + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (100 * n_upper > 50 * word_chars)::INT
+         + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 25 * n_words)::INT AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
+       failed & 31 = 0 AS kept, n_lines, n_upper, failed::BIGINT AS failed
+FROM f"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdicts of the base rules and of the first policy."""
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
