@@ -28,8 +28,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 #: Weak parts: an account name, an address, a run that may be a key.
-ACCOUNT = r"""(?i)\b(user(?:name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-ENDPOINT = r"""(?i)\b(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}"""
+ACCOUNT = r"""(?i)(?<![A-Za-z0-9_])(user(?:name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+ENDPOINT = r"""(?i)(?<![A-Za-z0-9_])(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}"""
 MIXED = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 
 KINDS = ["assign", "access", "hex", "account", "endpoint", "mixed"]  # in listing order
