@@ -2,8 +2,9 @@
 
 Members of a bucket are never paired off all at once. In the first round every member meets the one before it in its bucket. Verified pairs are
 joined into connected groups; a bucket whose members are all in one group is done. In the others, members of different
-groups meet over four times the distance in each further round, until every two members of a bucket have been compared or
-are connected anyway. So no link is lost, while a bucket full of copies of one thing is done after its first round.
+groups meet over four times the distance in each further round, or all at once where that makes no more than ``AT_ONCE``
+pairs for each row, until every two members of a bucket have been compared or are connected anyway. So no link is lost,
+while a bucket full of copies of one thing is done after its first round.
 Buckets of more than ``SPLIT`` members are dealt by a hash that changes with the round, so that no task holds an unbounded
 one; rounds then go on until one brings up no new pair.
 
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 from lodeglass.session import materialise
 
 SPLIT = 5000
+AT_ONCE = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,26 +36,25 @@ def components(edges: DataFrame) -> DataFrame:
         low, high = F.least("a", "b"), F.greatest("a", "b")
         return rows.where("a <> b").select(high.alias("a"), low.alias("b")).distinct()
 
-    def stamp(rows: DataFrame):
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(rows: DataFrame) -> bool:
+        """Every node hangs on one other, which hangs on none."""
+        twice = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        onward = rows.join(rows.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+        return twice.unionByName(onward).isEmpty()
 
-    current = materialise(directed(edges), "edges")
-    seen = stamp(current)
-    while seen[0]:
+    current = directed(edges)
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # written, so that the join below sees two plain shuffles and can split a hub
         least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "stars")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(directed(large), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-        current = materialise(directed(small), "edges")
-        now = stamp(current)
-        if now == seen:
+        # a node has few smaller neighbours left
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = materialise(directed(small.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        if stars(current):
             break
-        seen = now
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -103,7 +104,13 @@ def connect(
     left = members.withColumn("group", F.col("node"))
     compared: DataFrame | None = None
     back, turn = 1, 0
-    while widest := left.agg(F.max("n")).first()[0]:
+    rows_at_first = members.count()
+    while True:
+        widest, pairs_left = left.agg(F.max("n"), F.sum("n")).first()  # a bucket of n rows has about n * n / 2 pairs
+        if not widest:
+            break
+        if turn and pairs_left <= 2 * AT_ONCE * rows_at_first:
+            back = widest
         pairs = _met(left, back, turn)
         pairs = materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         fresh = pairs.count()
