@@ -3,7 +3,7 @@
 Members of a bucket are never paired off all at once. In the first round every member meets the one before it in its bucket. Verified pairs are
 joined into connected groups; a bucket whose members are all in one group is done. In the others, members of different
 groups meet over four times the distance in each further round, or all at once where that makes no more than ``AT_ONCE``
-pairs for each row, until every two members of a bucket have been compared or are connected anyway. So no link is lost,
+pairs for each row of all buckets, until every two members of a bucket have been compared or are connected anyway. So no link is lost,
 while a bucket full of copies of one thing is done after its first round.
 Buckets of more than ``SPLIT`` members are dealt by a hash that changes with the round, so that no task holds an unbounded
 one; rounds then go on until one brings up no new pair.
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from lodeglass.session import materialise
 
 SPLIT = 5000
-AT_ONCE = 8
+AT_ONCE = 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -82,6 +82,26 @@ def _met(members: DataFrame, back: int, turn: int) -> DataFrame:
     return ahead.select(F.explode(others).alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _apart(members: DataFrame) -> tuple[DataFrame, int]:
+    """The largest group of each bucket, and how many pairs of members of different groups the buckets hold in all."""
+    sizes = members.groupBy("bucket", "group").agg(F.count("*").alias("m"))
+    wide = F.col("m").cast("decimal(19,0)")
+    buckets = sizes.groupBy("bucket").agg(
+        F.max(F.struct("m", "group"))["group"].alias("_top"), F.sum(wide).alias("_all"), F.sum(wide * wide).alias("_same")
+    )
+    buckets = materialise(buckets, "apart")
+    pairs = buckets.agg(F.sum((F.col("_all") * F.col("_all") - F.col("_same")) / 2)).first()[0]
+    return buckets.select("bucket", "_top"), int(pairs or 0)
+
+
+def _met_at_once(members: DataFrame, largest: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of all members of different groups: those outside a bucket's largest group meet the others."""
+    few = members.join(largest, "bucket").where(F.col("group") != F.col("_top"))
+    few = few.select("bucket", F.col("node").alias("_node"), F.col("group").alias("_group"))
+    both = few.join(members, "bucket").where(F.col("group") != F.col("_group"))
+    return both.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
 def connect(
     rows: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], holds: Callable[[Column, Column], Column]
 ) -> DataFrame:
@@ -104,14 +124,11 @@ def connect(
     left = members.withColumn("group", F.col("node"))
     compared: DataFrame | None = None
     back, turn = 1, 0
-    rows_at_first = members.count()
-    while True:
-        widest, pairs_left = left.agg(F.max("n"), F.sum("n")).first()  # a bucket of n rows has about n * n / 2 pairs
-        if not widest:
-            break
-        if turn and pairs_left <= 2 * AT_ONCE * rows_at_first:
-            back = widest
-        pairs = _met(left, back, turn)
+    affordable = AT_ONCE * members.count()
+    while widest := left.agg(F.max("n")).first()[0]:
+        largest, apart = _apart(left) if turn else (None, 0)
+        last = turn > 0 and apart <= affordable
+        pairs = _met_at_once(left, largest) if last else _met(left, back, turn)
         pairs = materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         fresh = pairs.count()
         if fresh:
@@ -120,7 +137,7 @@ def connect(
             if found.count():
                 edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 groups = materialise(components(edges.unionByName(found.select("a", "b"))), "groups")
-        if back >= widest - 1 and (widest <= SPLIT or not fresh):
+        if last or back >= widest - 1 and (widest <= SPLIT or not fresh):
             break  # every two members of every open bucket have met
         left = _open(members, groups)
         back, turn = min(back * 4, widest), turn + 1
