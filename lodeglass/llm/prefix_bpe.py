@@ -26,7 +26,7 @@ from lodeglass.llm.pieces import Remembered, chunks
 #: Vocabulary files above this size are refused: they are sent to every task.
 MOST_VOCABULARY_BYTES = 32 << 20
 #: Encoded chunks and pieces that a worker remembers (see Remembered).
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -42,9 +42,8 @@ class Vocabulary:
         self._above = max(self.bytes_of) + 2
         sizes: dict[bytes, set[int]] = {}
         for token in ranks:
-            sizes.setdefault(token[-2:], set()).add(len(token))
-            sizes.setdefault(token[-1:], set()).add(len(token))
-        self._sizes = {end: sorted({1, *has}, reverse=True) for end, has in sizes.items()}  # of tokens with that end
+            sizes.setdefault(token[-3:], set()).add(len(token))
+        self._sizes = {end: (*sorted(has - {1, 2}, reverse=True), 2, 1) for end, has in sizes.items()}  # by last bytes
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
 
@@ -110,7 +109,7 @@ class Vocabulary:
         """Complete ``last``, the last tokens of the prefixes of ``piece`` known so far, in place."""
         rank_of, known, sizes = self.ranks.get, self._beside.get, self._sizes
         for end in range(len(last) + 1, len(piece) + 1):
-            for size in sizes.get(piece[max(end - 2, 0) : end], (1,)):
+            for size in sizes.get(piece[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
                 if size > end:
                     continue
                 token = rank_of(piece[end - size : end])
@@ -152,6 +151,7 @@ class Encoder:
         self._chunks = Remembered(lambda c: [i for p in split(c) for i in pieces[p]], most)
         top = max(vocabulary.bytes_of) + 1
         self._bytes = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
+        self._decimals = [str(i) for i in range(top)]
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self._chunks.__getitem__, chunks(text or ""))))
@@ -159,6 +159,10 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
 
+    def decimals(self, ids: list[int]) -> str:
+        """The ids as text, joined by commas."""
+        return ",".join(map(self._decimals.__getitem__, ids))
+
 
 class EditableText:
     """An encoded text that takes appends and edits, re-encoding only what they can change.
@@ -280,8 +284,7 @@ def round_trip(documents: DataFrame, vocabulary: str, pattern: str, key: str = "
 
     def digests(encoder: Encoder, text: str | None) -> tuple:
         ids = encoder.encode(text)
-        listed = ",".join(map(str, ids)).encode()
-        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+        return len(ids), hashlib.sha256(encoder.decimals(ids).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
 
     fields = {
         "n_tokens": ("bigint", pa.int64()),
