@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+#: Fixed value: how byte-level vocabularies cut a text into pieces before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _DOUBLE_SPACE = re.compile(r" \s|\s ")
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -45,3 +48,11 @@ class Remembered(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others
+    follow from 256 on in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}

@@ -24,13 +24,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeglass.llm.columns import require
-from lodeglass.llm.pieces import Remembered, chunks
+from lodeglass.llm.pieces import PATTERN, Remembered, byte_letters, chunks
 from lodeglass.llm.prefix_bpe import read_vocabulary
 from lodeglass.session import materialise, scratch_path
 
@@ -38,8 +39,10 @@ MAGIC = b"DACS"
 _WORD, _BLOCK = 64, 512  # bits
 #: Ids in one file at most, unless one document has more; bounds a task's memory, never what is written.
 MOST_IDS = 16_000_000
-#: Encoded chunks that a worker remembers.
-REMEMBERED = 400_000
+#: Encoded chunks, and pieces of them, that a worker remembers.
+REMEMBERED = 500_000
+#: Below this letter all versions of Unicode agree on what is a letter; chunks beyond it are cut by the library.
+_SETTLED = "\u0250"
 
 
 # ---- the format ----
@@ -158,12 +161,25 @@ def _tokenizer(data: bytes):
     apart = pre == plain and (spec["pre_tokenizer"].get("use_regex", True)) and not spec.get("normalizer")
     apart = apart and not spec.get("truncation")
 
-    def one(piece: str) -> bytes:
-        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(part: str) -> bytes:
+        return np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     if not apart:  # chunks of another kind of tokenizer may depend on one another
-        return lambda text: one(text) if text else b""
-    known = Remembered(one, REMEMBERED)
+        return lambda text: whole(text) if text else b""
+    letters, model, split = byte_letters(), tokenizer.model, regex.compile(PATTERN).findall
+
+    def piece(part: str) -> bytes:
+        merged = model.tokenize(part.encode().decode("latin-1").translate(letters))
+        return np.array([t.id for t in merged], "<u4").tobytes()
+
+    pieces = Remembered(piece, REMEMBERED)
+
+    def chunk(part: str) -> bytes:
+        if max(part) < _SETTLED:
+            return b"".join(map(pieces.__getitem__, split(part)))
+        return whole(part)
+
+    known = Remembered(chunk, REMEMBERED)
     return lambda text: b"".join(map(known.__getitem__, chunks(text)))
 
 

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from lodeglass.llm.queries import QUERIES, TOKENIZER
 PATH = public_tokenizers.path(TOKENIZER)
 
 
+@cache
 def library():
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
@@ -55,6 +57,14 @@ def test_random_access(ids, data):
         file[len(ids)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="  \n\t'strevmdl abTH12²½éß漢🙂.,!?-<|endoftext>", max_size=40), st.text(max_size=40)))
+def test_any_text_as_the_library_encodes(text):
+    with open(PATH, "rb") as file:
+        encode = token_store._tokenizer(file.read())
+    assert [*np.frombuffer(encode(text), "<u4"), 0] == library()(text)
+
+
 def test_many_files_nulls_ties_and_empty_table(spark, make):
     rows = [(None, "null id"), (1, None), (2, ""), (3, "<|endoftext|> a  b"), (4, "x" * 5000 + " 🙂é\n\n z"), (4, "x")]
     df = make([(*r, "k") for r in rows], "doc_id long, text string, key string")
