@@ -39,6 +39,8 @@ _PLAIN_LIMITS = (-1.5, 1.0)
 #: Element names. Those without end tags, those whose content is no text, and those inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style template noscript iframe svg math object head title textarea select option button".split())
+#: Silent elements whose content is characters up to their own end tag, whatever it looks like.
+RAW = frozenset("script style noscript iframe title textarea".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -55,6 +57,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
     re.S,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -100,20 +103,31 @@ def segments(page: str) -> Iterator[tuple[int, str, tuple, str]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     path: tuple[str, ...] = ()
     at, silent = 0, ""
+    unclosed: set[str] = set()
+
+    def raw_end(name: str, begin: int) -> int:
+        """Where the end tag of a raw element ends; -1 where there is none."""
+        found = None if name in unclosed else _RAW_END[name].search(page, begin)
+        if not found:
+            unclosed.add(name)
+        return found.end() if found else -1
 
     def rebuilt() -> tuple[str, ...]:
         return tuple(dict.fromkeys(f for _, features in stack for f in features))
 
-    for token in _TOKEN.finditer(page):
+    after = 0
+    while token := _TOKEN.search(page, after):
+        after = token.end()
         if not silent and token.start() > at:
             yield at, page[at : token.start()], path, ""
         slash, name, attributes = token[1], (token[2] or "").lower(), token[3] or ""
-        if silent:
-            if not (slash and name == silent):
-                continue
-            silent, at = "", token.end()
+        if silent and not (silent == "head" and name == "body" and not slash):
+            if slash and name == silent:
+                silent, at = "", after
+            elif name in RAW and not slash and not attributes.endswith("/"):
+                after = max(after, raw_end(name, after))
             continue
-        at = token.end()
+        silent, at = "", after
         if not name:
             continue
         if name in SILENT:
@@ -122,6 +136,10 @@ def segments(page: str) -> Iterator[tuple[int, str, tuple, str]]:
                 if name in ("head", "title", "button", "select", "option", "object", "noscript"):
                     end = re.compile(rf"</{name}\s*>|<body\b|<article\b|<main\b", re.I).search(page, at)
                     silent = name if end and end[0].startswith("</") else ""
+                if silent in RAW:
+                    end_at = raw_end(name, at)
+                    silent, at = ("", end_at) if end_at >= 0 else (name, len(page))
+                    after = at
             yield token.start(), "", (), name
             continue
         if slash:

@@ -76,3 +76,25 @@ def test_null_empty_long_repeated_and_broken_pages(spark, make):
     assert html_region.labelled_by_article(make([], "page_id long, html string")).count() == 0
     with pytest.raises(ValueError, match="text"):
         html_region.extract_pages(make([], "html string, text string"), weights)
+
+
+@pytest.mark.parametrize(
+    "silent",
+    [
+        "<script>for(var i=0;i<n;i++){f(i);}</script>",
+        "<SCRIPT type='x'>if (a<b) { s = \"it's\"; t = '<p>'; }</SCRIPT >",
+        "<script>// don't\nif(a<b){c()}</script>",
+        "<style>a::after{content:'<b'} /* isn't */</style>",
+        "<script><!-- if (a<b) x('--') </script>",
+        "<textarea>a<b and \"c</textarea>",
+        "<svg><style>/* a<b's */</style><path d='M0'/></svg>",
+        "<template><p>no</p><script>w('</template>'+a<b)</script></template>",
+    ],
+)
+def test_content_of_silent_elements_is_not_markup(spark, silent):
+    weights = html_region.learn(spark)
+    for page in (f"{silent}<article><p>one two</p>{silent}<p>three four</p></article>", LAYOUT.format(f"<article><p>one two</p>{silent}<p>three four</p></article>")):
+        assert html_region.extract(page, weights) == "one two three four"
+    head = f"<html><head><title>t</title>{silent}</head><body><article><p>one two</p></article></body></html>"
+    assert html_region.extract(head, weights) == "one two"
+    assert html_region.extract(head.replace("</head>", "<script>w('</head>')</script>"), weights) == "one two"
