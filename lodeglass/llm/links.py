@@ -6,7 +6,7 @@ groups meet over four times the distance in each further round, or all at once w
 pairs for each row of all buckets, until every two members of a bucket have been compared or are connected anyway. So no link is lost,
 while a bucket full of copies of one thing is done after its first round.
 Buckets of more than ``SPLIT`` members are dealt by a hash that changes with the round, so that no task holds an unbounded
-one; rounds then go on until one brings up no new pair.
+one. What is open when the rounds have met all within a part is finished by fixed parts: every part meets every part of its bucket.
 
 State between rounds is written to the shared folder. The driver sees counts only.
 """
@@ -95,10 +95,16 @@ def _apart(members: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _met_at_once(members: DataFrame, largest: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of all members of different groups: those outside a bucket's largest group meet the others."""
+    """Distinct pairs (a, b) of all members of different groups: those outside a bucket's largest group meet the others.
+
+    A bucket is dealt into parts of about ``SPLIT`` members; a cell of the join holds one part on either side.
+    """
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
     few = members.join(largest, "bucket").where(F.col("group") != F.col("_top"))
-    few = few.select("bucket", F.col("node").alias("_node"), F.col("group").alias("_group"))
-    both = few.join(members, "bucket").where(F.col("group") != F.col("_group"))
+    few = few.select("bucket", F.col("node").alias("_node"), F.col("group").alias("_group"), own.alias("_i"), every.alias("_j"))
+    others = members.select("bucket", "node", "group", own.alias("_j"), every.alias("_i"))
+    both = few.join(others, ["bucket", "_i", "_j"]).where(F.col("group") != F.col("_group"))
     return both.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
@@ -123,11 +129,11 @@ def connect(
     groups = rows.sparkSession.createDataFrame([], f"node {of_node}, component {of_node}")
     left = members.withColumn("group", F.col("node"))
     compared: DataFrame | None = None
-    back, turn = 1, 0
+    back, turn, met = 1, 0, 0
     affordable = AT_ONCE * members.count()
     while widest := left.agg(F.max("n")).first()[0]:
         largest, apart = _apart(left) if turn else (None, 0)
-        last = turn > 0 and apart <= affordable
+        last = turn > 0 and (apart <= affordable or widest > SPLIT and met >= SPLIT - 1)
         pairs = _met_at_once(left, largest) if last else _met(left, back, turn)
         pairs = materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         fresh = pairs.count()
@@ -137,8 +143,8 @@ def connect(
             if found.count():
                 edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 groups = materialise(components(edges.unionByName(found.select("a", "b"))), "groups")
-        if last or back >= widest - 1 and (widest <= SPLIT or not fresh):
+        if last or widest <= SPLIT and back >= widest - 1:
             break  # every two members of every open bucket have met
         left = _open(members, groups)
-        back, turn = min(back * 4, widest), turn + 1
+        back, turn, met = min(back * 4, widest), turn + 1, back
     return groups

@@ -61,3 +61,34 @@ def test_connect_loses_no_link(spark, monkeypatch, split):
     assert set(got) <= set(want) and all(want[n] == want[c] for n, c in got.items())
     if split == 5000:
         assert groups(got) == groups(want)
+
+
+@pytest.mark.parametrize("nodes", [11, 14])
+def test_every_pair_of_a_dealt_bucket_meets(spark, monkeypatch, nodes):
+    """Nothing holds, so all pairs of a bucket must be compared, also far above SPLIT."""
+    monkeypatch.setattr(links, "SPLIT", 4)
+    monkeypatch.setattr(links, "AT_ONCE", 0)
+    met, real = [], links.materialise
+
+    def noted(rows, name):
+        out = real(rows, name)
+        met.extend(tuple(sorted(r)) for r in out.collect()) if name == "pairs" else None
+        return out
+
+    monkeypatch.setattr(links, "materialise", noted)
+    rows = spark.createDataFrame([(0, n) for n in range(nodes)], "bucket long, node long")
+    assert links.connect(rows, lambda found: found.selectExpr("node", "node body"), lambda a, b: a < b - 1000).count() == 0
+    assert sorted(met) == [(a, b) for a in range(nodes) for b in range(a + 1, nodes)]
+
+
+def test_connect_loses_no_link_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(links, "SPLIT", 4)
+    choose = random.Random(8)
+    value = {n: choose.randint(0, 60) for n in range(24)}
+    rows = sorted({(choose.randint(0, 1), n) for n in value for _ in range(2)})
+    edges = [(a, b) for p, a in rows for q, b in rows if p == q and a < b and abs(value[a] - value[b]) <= 1]
+    values = spark.createDataFrame(list(value.items()), "node long, body long")
+    got = links.connect(
+        spark.createDataFrame(rows, "bucket long, node long"), lambda nodes: values.join(nodes, "node"), lambda a, b: F.abs(a - b) <= 1
+    ).collect()
+    assert {r["node"]: r["component"] for r in got} == by_hand(edges)
