@@ -3,7 +3,8 @@
 A document's k-mers are its runs of five words, each labelled with how often it has occurred before in the text. One sketch takes the ``TUPLE``
 labelled k-mers that a hash function orders first, and writes them down in the order of the text, so two documents
 agree on it when they share those k-mers *and* their order: agreement follows edit similarity, not only shared content. ``ROWS`` sketches
-form a band; documents that agree on a whole band are compared.
+form a band; documents that agree on a whole band are compared. With bands of one sketch a pair that shares J of its k-mers meets with a
+probability of about 1 - (1 - J^3)^64.
 
 Comparison is banded alignment: the word-level edit distance, given up beyond the band that the threshold allows
 (words are coded as single characters, so the banded Levenshtein distance of Spark does it in the JVM). Documents are linked at
@@ -32,7 +33,7 @@ from lodeglass.llm.links import connect
 from lodeglass.session import materialise
 
 K = 5
-TUPLE, ROWS, BANDS = 2, 2, 16
+TUPLE, ROWS, BANDS = 3, 1, 64
 SIMILARITY = 0.8
 
 _WORD = re.compile(r"\w+")

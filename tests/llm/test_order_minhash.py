@@ -114,3 +114,17 @@ def test_alignment_by_hand(spark, part):
     a, b = om.coded(" ".join(BASE)), om.coded(" ".join(changed(BASE, part, 5)))
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.select(om.aligned(df.a, df.b, 0.8)).first()[0] == similar(a, b)
+
+
+@pytest.mark.parametrize(("part", "least"), [(0.05, 0.99), (0.1, 0.97), (0.15, 0.7), (0.18, 0.4)])
+def test_recall_by_edit_similarity(part, least):
+    """Of all pairs (text, copy with so many words changed) that the alignment accepts, the share that meets."""
+    linked = met = 0
+    for n in range(200):
+        words = [f"t{n}w{i}" for i in range(300)]
+        copy = changed(words, part, n)
+        if sum(a != b for a, b in zip(words, copy, strict=True)) <= 60:
+            linked += 1
+            met += bool(set(om.band_keys(" ".join(words))) & set(om.band_keys(" ".join(copy))))
+    print(part, linked, met)
+    assert linked > 100 and met >= least * linked
