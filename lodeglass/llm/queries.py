@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import (
+    alignment,
     credentials,
     decontaminate,
     html_region,
@@ -28,6 +29,7 @@ ORACLE: dict[str, str] = {}
 SHARDS = 16
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -185,6 +187,14 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document, and how usual its links are in the corpus."""
+    return alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules, line dedup, near-dedup, decontamination and encoding, one after the other."""

@@ -17,6 +17,6 @@ def test_matches_sql(spark, sf, name):
 
 def test_all_are_registered():
     numbers = sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert QUERIES.keys() <= __spark_entry__.queries().keys()
     assert ORACLE.keys() <= __spark_entry__.oracle_sql().keys()
