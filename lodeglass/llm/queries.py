@@ -21,7 +21,10 @@ from lodeglass.llm import (
     quality,
     sharding,
     token_store,
+    variants,
+    warc,
 )
+from lodeglass.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -187,6 +190,29 @@ def op10_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_segment_reassembly")
+def op11_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: its payload, and the record that holds it."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    rows = warc.resolve(warc.read_payloads(spark, manifest))
+    return rows.select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        F.col("sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+        "n_segments",
+        "problem",
+    )
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with the frequent word one edit away that it stands for."""
+    runs = variants.words(table(spark, sf_dir, "documents"), one_in=97)
+    return variants.variants(materialise(variants.vocabulary(runs), "words"))
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers line up in every document, and how usual its links are in the corpus."""
