@@ -2,12 +2,16 @@
 
 All rows are first reduced to counts per combination of predictor categories. Levels of the tree are
 then grouped sums of that table; only the counts per node, predictor, category and target class come
-to the driver, whose number is bounded by the node count and the category limit.
+to the driver, whose number is bounded by the node count and the limits on categories and classes.
+
+The tree is a table of rules: for each node that is split its predictor, and the child of each category. Growing and applying it are
+the same join with that table, one a level, whatever the number of nodes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import comb
 
@@ -21,7 +25,8 @@ from lodeglass.operators.quantiles import quantile_name, quantiles_by
 from lodeglass.session import materialise
 
 MISSING = "(missing)"
-MAX_CATEGORIES = 10
+MAX_BINS = 10
+RULES = "node int, predictor string, children map<string, int>"
 
 Counts = dict[str, list[int]]  # category -> count per target class
 
@@ -53,9 +58,18 @@ class Tree:
     def leaves(self) -> list[Node]:
         return [n for n in self.nodes if n.leaf]
 
+    def rules(self) -> list[tuple[int, str, dict[str, int]]]:
+        """Each split node with its predictor and the child of each category, as rows of ``RULES``."""
+        out: dict[int, tuple[int, str, dict[str, int]]] = {}
+        for n in self.nodes:
+            if n.parent_id is not None:
+                row = out.setdefault(n.parent_id, (n.parent_id, n.split_column, {}))
+                row[2].update(dict.fromkeys(n.categories, n.node_id))
+        return list(out.values())
+
 
 def categories_of(
-    df: DataFrame, predictors: list[str], bins: int = MAX_CATEGORIES
+    df: DataFrame, predictors: list[str], bins: int = MAX_BINS
 ) -> tuple[dict[str, Column], set[str]]:
     """(category expression per predictor, names of the ordered ones). Numbers are cut at quantiles."""
     numeric = [p for p in predictors if isinstance(df.schema[p].dataType, T.NumericType)]
@@ -123,10 +137,66 @@ def _partitions(categories: Counts, r: int, ordered: bool) -> float:
     return row[r]
 
 
-def _merge(counts: Counts, ordered: bool, alpha: float, min_leaf: int) -> list[tuple[tuple[str, ...], list[int]]]:
-    """Join the most alike categories until all differ and all are large enough."""
+Group = tuple[tuple[str, ...], list[int]]  # categories, count per target class
+
+
+def _sum(counts: Counts, categories: tuple[str, ...]) -> list[int]:
+    return [sum(c) for c in zip(*[counts[c] for c in categories], strict=True)]
+
+
+def _weight(pair: list[list[int]]) -> tuple[float, float]:
+    """How alike two groups are: the p-value, and the statistic where that is too small to tell."""
+    return _p(pair), -_chi2(pair)[0]
+
+
+def _cuts(counts: Counts, categories: tuple[str, ...], ordered: bool) -> Iterator[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Ways to cut a group in two. Ordered categories are cut between neighbours, a missing one goes to either side or stands
+    alone; others are put in order of their share of each target class and cut there, which finds the best cut for two classes."""
+    if ordered:
+        known = tuple(c for c in categories if c != MISSING)
+        lone = tuple(c for c in categories if c == MISSING)
+        for k in range(1, len(known)):
+            yield known[:k], known[k:] + lone
+            if lone:
+                yield known[:k] + lone, known[k:]
+        if lone:
+            yield known, lone
+        return
+    for j in range(len(counts[categories[0]])):
+        row = sorted(categories, key=lambda c: (counts[c][j] / sum(counts[c]), c))
+        for k in range(1, len(row)):
+            yield tuple(c for c in categories if c in row[:k]), tuple(c for c in categories if c in row[k:])
+
+
+def _resplit(counts: Counts, group: Group, ordered: bool, alpha: float, min_leaf: int) -> list[Group]:
+    """The group, or its most telling cut in two if that is significant and leaves both sides large enough."""
+    best: tuple[tuple[float, float], list[Group]] | None = None
+    for left, right in _cuts(counts, group[0], ordered):
+        sides = [(left, _sum(counts, left)), (right, _sum(counts, right))]
+        if min(sum(n) for _, n in sides) < min_leaf:
+            continue
+        weight = _weight([n for _, n in sides])
+        if best is None or weight < best[0]:
+            best = weight, sides
+    return best[1] if best and best[0][0] <= alpha else [group]
+
+
+def _merge(
+    counts: Counts, ordered: bool, alpha: float, min_leaf: int, alpha_resplit: float | None = None
+) -> list[Group]:
+    """Join the most alike categories until all differ and all are large enough.
+
+    After each step the groups of three categories or more are cut again where that is significant, and their parts
+    likewise; cuts that would lead back to a grouping tried before are not made, so the steps end.
+    """
     # The missing category goes last, so that joining it to an earlier group keeps the order.
-    groups = [((c,), list(counts[c])) for c in sorted(counts, key=lambda c: (c == MISSING, c))]
+    groups: list[Group] = [((c,), list(counts[c])) for c in sorted(counts, key=lambda c: (c == MISSING, c))]
+    place = {g[0][0]: i for i, g in enumerate(groups)}
+    tried = {frozenset(g[0] for g in groups)}
+
+    def in_order(found: list[Group]) -> list[Group]:
+        return sorted(found, key=lambda g: (g[0] == (MISSING,), place[g[0][0]]))
+
     while len(groups) > 1:
         pairs = [
             (i, j)
@@ -137,21 +207,36 @@ def _merge(counts: Counts, ordered: bool, alpha: float, min_leaf: int) -> list[t
         small = [i for i, g in enumerate(groups) if sum(g[1]) < min_leaf]
         if small:
             pairs = [(i, j) for i, j in pairs if i in small or j in small]
-        p, i, j = max((_p([groups[i][1], groups[j][1]]), -i, -j) for i, j in pairs)
+        (p, _), i, j = max((_weight([groups[i][1], groups[j][1]]), -i, -j) for i, j in pairs)
         i, j = -i, -j
         if not small and p <= alpha:
             break
-        joined = (groups[i][0] + groups[j][0], [a + b for a, b in zip(groups[i][1], groups[j][1])])
-        groups = [g for k, g in enumerate(groups) if k not in (i, j)]
-        groups.insert(i, joined)
+        cats = tuple(sorted(groups[i][0] + groups[j][0], key=place.__getitem__))
+        groups = in_order([*[g for k, g in enumerate(groups) if k not in (i, j)], (cats, _sum(counts, cats))])
+        while alpha_resplit is not None:
+            cut = [
+                part for g in groups
+                for part in (_resplit(counts, g, ordered, alpha_resplit, min_leaf) if len(g[0]) > 2 else [g])
+            ]
+            if len(cut) == len(groups) or frozenset(g[0] for g in cut) in tried:
+                break
+            groups = in_order(cut)
+        tried.add(frozenset(g[0] for g in groups))
     return groups
 
 
-def _here(rules: dict[str, tuple[str, ...]]) -> Column:
-    out = F.lit(True)
-    for p, cats in rules.items():
-        out = out & quoted(p).isin(list(cats))
-    return out
+def _cells(predictors: list[str], expressions: dict[str, Column] | None = None) -> Column:
+    """The category of every predictor, by its name."""
+    values = [quoted(p) if expressions is None else expressions[p] for p in predictors]
+    return F.map_from_arrays(F.array(*[F.lit(p) for p in predictors]), F.array(*values))
+
+
+def _descend(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows with ``node`` and ``cells``, one level down; rows of nodes without a rule stay, unseen categories lead to null."""
+    child = F.element_at("children", F.element_at("cells", F.col("predictor")))
+    return rows.join(rules, "node", "left").withColumn(
+        "node", F.when(F.col("predictor").isNull(), F.col("node")).otherwise(child)
+    ).drop("predictor", "children")
 
 
 def chaid_tree(
@@ -163,35 +248,44 @@ def chaid_tree(
     alpha_merge: float = 0.05,
     alpha_split: float = 0.05,
     min_leaf: int = 30,
-    bins: int = MAX_CATEGORIES,
+    bins: int = MAX_BINS,
+    alpha_resplit: float | None = 0.049,
+    max_categories: int = 20,
+    max_classes: int = 100,
 ) -> Tree:
-    """Grow the tree. Ties between predictors go by name, so the result is repeatable."""
+    """Grow the tree. Ties between predictors go by name, so the result is repeatable.
+
+    ``alpha_resplit`` is the level at which a merged group is cut again (None: never). A predictor with more than
+    ``max_categories`` and a target with more than ``max_classes`` distinct values, counted exactly, are refused.
+    """
     expressions, ordered = categories_of(df, predictors, bins)
     labelled = df.where(quoted(target).isNotNull())
     cube = materialise(
         labelled.groupBy(
             *[e.alias(p) for p, e in expressions.items()], quoted(target).cast("string").alias("_class")
         ).agg(F.count("*").alias("_n"))
-    )
-    sizes = cube.agg(*[F.approx_count_distinct(quoted(p)).alias(p) for p in predictors]).first()
-    for p in predictors:
-        if sizes[p] > 2 * MAX_CATEGORIES:
-            raise ValueError(f"{p!r} has about {sizes[p]} categories; bin it first")
-    classes = [r["_class"] for r in cube.select("_class").distinct().orderBy("_class").limit(101).collect()]
-    if len(classes) > 100:
-        raise ValueError(f"{target!r} has more than 100 classes")
+    ).select("_class", "_n", _cells(predictors).alias("cells"))
+    sizes = cube.select(F.explode("cells").alias("p", "c")).distinct().groupBy("p").agg(F.count("*").alias("n"))
+    for p, n in sorted(map(tuple, sizes.collect())):
+        if n > max_categories:
+            raise ValueError(f"{p!r} has {n} categories; bin it first or raise max_categories")
+    distinct = cube.select("_class").distinct().orderBy("_class")
+    classes = [r["_class"] for r in distinct.limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError(f"{target!r} has more than {max_classes} classes")
     # The class as Spark writes it: true, not True.
     wanted = str(positive).lower() if isinstance(positive, bool) else str(positive)
     if classes and wanted not in classes:
         raise ValueError(f"{target!r} has no class {wanted!r}")
     hit = classes.index(wanted) if classes else None
 
-    nodes = [Node(0, None, 0, {})]
-    frontier = [nodes[0]]
+    tree = Tree([Node(0, None, 0, {})], expressions, predictors)
+    nodes, frontier = tree.nodes, tree.nodes[:]
+    rows = cube.withColumn("node", F.lit(0))
     for depth in range(max_depth + 1):
         if not frontier:
             break
-        tables = _node_tables(cube, frontier, predictors, classes)
+        tables = _node_tables(rows, frontier, classes)
         following: list[Node] = []
         for node in frontier:
             table = tables[node.node_id]
@@ -205,7 +299,7 @@ def chaid_tree(
             for p in sorted(predictors):
                 if len(table.get(p, {})) < 2:
                     continue
-                groups = _merge(table[p], p in ordered, alpha_merge, min_leaf)
+                groups = _merge(table[p], p in ordered, alpha_merge, min_leaf, alpha_resplit)
                 if len(groups) < 2:
                     continue
                 factor = _partitions(table[p], len(groups), p in ordered)
@@ -220,20 +314,17 @@ def chaid_tree(
                 child = Node(len(nodes), node.node_id, depth + 1, {**node.rules, p: cats}, p, cats, adj_p=adj_p)
                 nodes.append(child)
                 following.append(child)
+        split = {n.parent_id for n in following}
+        level = df.sparkSession.createDataFrame([r for r in tree.rules() if r[0] in split], RULES)
+        rows = _descend(rows.where(F.col("node").isin(*split)), level) if split else rows
         frontier = following
-    return Tree(nodes, expressions, predictors)
+    return tree
 
 
-def _node_tables(
-    cube: DataFrame, nodes: list[Node], predictors: list[str], classes: list[str]
-) -> dict[int, dict[str, Counts]]:
-    at = F.lit(None).cast("int")
-    for node in nodes:
-        at = F.when(_here(node.rules), F.lit(node.node_id)).otherwise(at)
-    cells = F.array(*[F.struct(F.lit(p).alias("p"), quoted(p).alias("c")) for p in predictors])
+def _node_tables(rows: DataFrame, nodes: list[Node], classes: list[str]) -> dict[int, dict[str, Counts]]:
+    """Per node and predictor the class counts of its categories."""
     counted = (
-        cube.select(at.alias("node"), "_class", "_n", F.inline(cells))
-        .where(F.col("node").isNotNull())
+        rows.select("node", "_class", "_n", F.explode("cells").alias("p", "c"))
         .groupBy("node", "p", "c", "_class")
         .agg(F.sum("_n").alias("n"))
     )
@@ -276,13 +367,12 @@ def risk_policy(df: DataFrame, tree: Tree, approve_below: float, decline_from: f
 def apply_policy(
     df: DataFrame, key: str, tree: Tree, approve_below: float, decline_from: float
 ) -> DataFrame:
-    """key, leaf_id, decision; one projection. Categories the tree never saw give nulls."""
-    binned = df.select(quoted(key).alias("key"), *[e.alias(p) for p, e in tree.bins.items()])
-    leaf, rate = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for node in tree.leaves():
-        here = _here(node.rules)
-        leaf = F.when(here, F.lit(node.node_id)).otherwise(leaf)
-        rate = F.when(here, F.lit(node.rate)).otherwise(rate)
-    routed = binned.select("key", leaf.alias("leaf_id"), rate.alias("_rate"))
-    decision = F.when(F.col("_rate").isNotNull(), decide(F.col("_rate"), approve_below, decline_from))
-    return routed.select("key", "leaf_id", decision.alias("decision"))
+    """key, leaf_id, decision: one join with the rules for each level, one with the leaves. Categories the tree never
+    saw give nulls."""
+    spark = df.sparkSession
+    rows = df.select(quoted(key).alias("key"), _cells(tree.predictors, tree.bins).alias("cells"), F.lit(0).alias("node"))
+    rules = spark.createDataFrame(tree.rules(), RULES)
+    for _ in range(max(n.depth for n in tree.nodes)):
+        rows = _descend(rows, rules)
+    leaves = risk_policy(df, tree, approve_below, decline_from).select(F.col("leaf_id").alias("node"), "decision")
+    return rows.join(leaves, "node", "left").select("key", F.col("node").alias("leaf_id"), "decision")
