@@ -1,8 +1,9 @@
 """Ordered text assembly: documents from fragments, context, digests and Markdown reports.
 
-A group's pieces are gathered in parts of at most ``span`` positions, so no task ever holds an
+A group's pieces are gathered in parts of fewer than ``2 * span`` pieces, so no task ever holds an
 unbounded group. A group of ordinary size is a single part 0; a larger one is the concatenation of
-its parts in order. Positions must be integers that are unique inside their group.
+its parts 0, 1, … in order, whatever its positions are and however far apart. ``span=None`` asks for one text per group, which then has to fit
+into a task. Positions are integers; a null position, or one that occurs twice in its group, is an error.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodeglass.functions.text import is_filled, snippet, strip
 from lodeglass.operators.joins import join_on
 from lodeglass.operators.profile import union_all
+from lodeglass.session import materialise
 
 SPAN = 1000
 
@@ -35,26 +38,52 @@ TEXT_BLOCK = "\nFile: %s\n- Type: Text Document\n- Snippet: %s\n"
 
 
 def assemble(
-    df: DataFrame, group: list[str], position: str, text: str, separator: str, out: str, span: int = SPAN
+    df: DataFrame, group: list[str], position: str, text: str, separator: str, out: str, span: int | None = SPAN
 ) -> DataFrame:
     """group columns, part, ``out``: the texts of each part joined in position order."""
-    part = F.floor(F.col(position) / span).cast("long")
-    gathered = df.groupBy(*group, part.alias("part")).agg(
-        F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))).alias("_pieces")
+    known = F.when(F.col(position).isNull(), F.raise_error(F.lit("a position is null"))).otherwise(F.col(position))
+    if span is None:
+        parted = df.withColumn("part", F.lit(0).cast("long"))
+    else:
+        block = F.floor(known / span).cast("long")
+        moved = _moved_blocks(df, group, block, span)
+        blocked = df.withColumn("_block", block)
+        parted = join_on(blocked, moved, [*group, "_block"], "left").withColumn("part", F.coalesce("part", "_block"))
+    gathered = parted.groupBy(*group, "part").agg(
+        F.collect_list(F.struct(known.alias("p"), F.col(text).alias("t"))).alias("_pieces")
     )
-    texts = F.transform(F.array_sort("_pieces"), lambda piece: piece["t"])
+    pieces = F.array_sort("_pieces")
+    again = F.size(F.array_distinct(F.transform("_pieces", lambda piece: piece["p"]))) < F.size("_pieces")
+    checked = F.when(again, F.raise_error(F.lit("a position occurs twice"))).otherwise(pieces)
+    texts = F.transform(checked, lambda piece: piece["t"])
     return gathered.select(*group, "part", F.array_join(texts, separator).alias(out))
 
 
-def _headed(parts: DataFrame, pieces: DataFrame, out: str, heading: str, span: int) -> DataFrame:
-    """``parts`` of ``pieces`` with the heading on each project's first part, whatever position it starts at."""
-    first = pieces.groupBy("project").agg(F.floor(F.min("_at") / span).cast("long").alias("_first"))
-    titled = F.when(F.col("part") == F.col("_first"), F.concat(F.lit(heading), F.col(out))).otherwise(F.col(out))
-    return join_on(parts, first, ["project"]).withColumn(out, titled).drop("_first")
+def _moved_blocks(df: DataFrame, group: list[str], block: Column, span: int) -> DataFrame:
+    """group columns, _block, part of the blocks of ``span`` positions whose part is not their own number.
+
+    Blocks are taken together in order until ``span`` pieces have gone before. Groups with positions 0, 1, 2, … have none, so this
+    table is small, and written so that the planner knows it.
+    """
+    keys = group or ["_all"]
+    rows = df if group else df.withColumn("_all", F.lit(0))
+    sizes = rows.groupBy(*keys, block.alias("_block")).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    placed = sizes.select(*group, "_block", F.floor(gone / span).alias("_after"))
+    ranked = placed.withColumn(
+        "part", (F.dense_rank().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("_after")) - 1).cast("long")
+    )
+    return materialise(ranked.where(F.col("part") != F.col("_block")).select(*group, "_block", "part"), "moved")
+
+
+def _headed(parts: DataFrame, out: str, heading: str) -> DataFrame:
+    """``parts`` with the heading on the first."""
+    return parts.withColumn(out, F.when(F.col("part") == 0, F.concat(F.lit(heading), F.col(out))).otherwise(F.col(out)))
 
 
 def fragment_concat(
-    df: DataFrame, doc: str, seq: str, text: str, mode: str = "paragraphs", span: int = SPAN
+    df: DataFrame, doc: str, seq: str, text: str, mode: str = "paragraphs", span: int | None = SPAN
 ) -> DataFrame:
     """doc, part, text.
 
@@ -69,7 +98,7 @@ def fragment_concat(
     return assemble(filled, ["doc"], "seq", "text", "\n", "text", span)
 
 
-def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int = SPAN) -> DataFrame:
+def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int | None = SPAN) -> DataFrame:
     """project, part, digest: one dotted line per task, numbered by ``seq`` (1, 2, …).
 
     The first part carries the heading. Parts join by a line end. See ``with_empty_projects``.
@@ -78,7 +107,7 @@ def task_digest(results: DataFrame, project: str, seq: str, task: str, span: int
     line = F.format_string(DIGEST_LINE, F.col(seq), title)
     lines = results.select(F.col(project).alias("project"), (F.col(seq) - 1).alias("_at"), line.alias("line"))
     parts = assemble(lines, ["project"], "_at", "line", "\n", "digest", span)
-    return _headed(parts, lines, "digest", DIGEST_HEADING + "\n", span)
+    return _headed(parts, "digest", DIGEST_HEADING + "\n")
 
 
 def with_empty_projects(parts: DataFrame, projects: DataFrame, column: str, sentence: str) -> DataFrame:
@@ -147,12 +176,12 @@ def results_blocks(results: DataFrame, project: str = "project", seq: str = "seq
 
 
 def results_markdown(
-    results: DataFrame, project: str = "project", seq: str = "seq", span: int = SPAN
+    results: DataFrame, project: str = "project", seq: str = "seq", span: int | None = SPAN
 ) -> DataFrame:
     """project, part, markdown. The first part carries the heading; parts join by an empty line."""
     blocks = results_blocks(results, project, seq).withColumn("_at", F.col("seq") - 1)
     parts = assemble(blocks, ["project"], "_at", "block", "\n\n", "markdown", span)
-    return _headed(parts, blocks, "markdown", RESULTS_HEADING + "\n\n", span)
+    return _headed(parts, "markdown", RESULTS_HEADING + "\n\n")
 
 
 def table_blocks(datasets: dict[str, DataFrame], shapes: DataFrame) -> DataFrame:
@@ -171,22 +200,33 @@ def text_blocks(texts: DataFrame, name: Column, text: str, position: Column) ->
 
 
 def context_render(
-    datasets: dict[str, DataFrame], shapes: DataFrame | None, texts: DataFrame | None = None, span: int = SPAN
+    datasets: dict[str, DataFrame], shapes: DataFrame | None, texts: DataFrame | None = None, span: int | None = SPAN
 ) -> DataFrame:
     """kind, part, context: table blocks (kind 0) before text blocks (kind 1); parts join directly.
 
     ``shapes`` is the result of ``dataset_shape`` and ``texts`` that of ``text_blocks``. Without any
-    block the context is one fixed sentence.
+    block the context is one fixed sentence. With ``span=None`` all is one context, of kind 0 and part 0.
     """
     blocks = []
     if datasets:
-        blocks.append(table_blocks(datasets, shapes).select(F.lit(0).alias("kind"), "position", "block"))
+        blocks.append(table_blocks(datasets, shapes))
     if texts is not None:
-        blocks.append(texts.select(F.lit(1).alias("kind"), "position", "block"))
+        blocks.append(texts)
     if not datasets and (texts is None or texts.isEmpty()):
-        spark = SparkSession.active()
-        return spark.createDataFrame([(0, 0, NO_FILES)], "kind int, part long, context string")
-    return assemble(union_all(blocks), ["kind"], "position", "block", "", "context", span)
+        return SparkSession.active().createDataFrame([(0, 0, NO_FILES)], "kind int, part long, context string")
+    return one_after_another(blocks, "context", span, first=0 if datasets else 1)
+
+
+def one_after_another(
+    kinds: list[DataFrame], out: str, span: int | None, first: int = 0
+) -> DataFrame:
+    """kind, part, ``out``: (position, block) rows of several kinds, assembled kind by kind, or as one text with ``span=None``."""
+    blocks = union_all([b.select(F.lit(i).alias("kind"), "position", "block") for i, b in enumerate(kinds, first)])
+    if span is not None:
+        return assemble(blocks, ["kind"], "position", "block", "", out, span)
+    pieces = F.array_sort(F.collect_list(F.struct("kind", "position", "block")))
+    whole = blocks.agg(F.array_join(F.transform(pieces, lambda p: p["block"]), "").alias(out))
+    return whole.select(F.lit(first).alias("kind"), F.lit(0).cast("long").alias("part"), out)
 
 
 def conversation_log(df: DataFrame, conversation: str, seq: str, role: str, content: str) -> DataFrame:

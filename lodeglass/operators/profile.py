@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ def quoted(name: str) -> Column:
 
 
 def _one_row_per_column(
-    df: DataFrame, columns: list[str], stats: Callable[[Column], dict[str, Column]], batch: int = BATCH
+    df: DataFrame, columns: list[str], stats: Callable[[Column, T.StructField], dict[str, Column]], batch: int = BATCH
 ) -> DataFrame:
     if not columns:
         raise ValueError("no column of the kind this profile describes")
@@ -47,7 +47,9 @@ def _one_row_per_column(
     for start in range(0, len(columns), batch):
         names = columns[start : start + batch]
         cells = [
-            F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in stats(quoted(c)).items()]).alias(f"s{i}")
+            F.struct(
+                F.lit(c).alias("column"), *[v.alias(k) for k, v in stats(quoted(c), df.schema[c]).items()]
+            ).alias(f"s{i}")
             for i, c in enumerate(names)
         ]
         row = df.agg(*cells)
@@ -77,45 +79,73 @@ def schema_listing(df: DataFrame, count: bool = False) -> DataFrame:
     listing = df.sparkSession.createDataFrame(rows, "ordinal long, column string, dtype string")
     if not count:
         return listing
-    filled = _one_row_per_column(df, df.columns, lambda c: {"filled": F.count(c)})
+    filled = _one_row_per_column(df, df.columns, lambda c, _: {"filled": F.count(c)})
     return listing.join(filled, "column").select("ordinal", "column", "dtype", "filled")
 
 
+def joined_names(datasets: dict[str, DataFrame]) -> DataFrame:
+    """dataset, columns: the column names in order, joined by a comma and a space. No job runs."""
+    spark = next(iter(datasets.values())).sparkSession if datasets else SparkSession.active()
+    return spark.createDataFrame([(n, ", ".join(df.columns)) for n, df in datasets.items()], "dataset string, columns string")
+
+
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, null_count, null_pct. NaN is a value, not a missing one."""
     stats = _one_row_per_column(
-        df, columns or df.columns, lambda c: {"null_count": _nulls(c), "n": F.count(F.lit(1))}
+        df, columns or df.columns, lambda c, _: {"null_count": _nulls(c), "n": F.count(F.lit(1))}
     )
     share = F.try_divide(F.col("null_count") * 100.0, F.col("n"))
     return stats.select("column", "null_count", share.alias("null_pct"))
 
 
+def quoted_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def value_sql(c: str, kind: T.DataType) -> str:
+    """A numeric column as doubles, NaN as null."""
+    number = f"cast({c} as double)"
+    return f"nanvl({number}, cast(null as double))" if isinstance(kind, (T.DoubleType, T.FloatType)) else number
+
+
+def numeric_stats(c: str, kind: T.DataType) -> dict[str, str]:
+    """SQL aggregates of a numeric column, NaN left out of all but ``count`` and ``nan_count``."""
+    value = value_sql(c, kind)
+    return {
+        "count": f"count({c})",
+        "nan_count": f"count_if(isnan(cast({c} as double)))",
+        "mean": f"nanvl(avg({value}), cast(null as double))",
+        "std": f"nanvl(stddev_samp({value}), cast(null as double))",
+        "min": f"min({value})",
+        "max": f"max({value})",
+    }
+
+
 def numeric_profile(
     df: DataFrame,
     columns: list[str] | None = None,
     mode: str = "exact",
     accuracy: int | None = None,
 ) -> DataFrame:
-    """column, count, null_count, nan_count, mean, std, min, p25, p50, p75, max.
+    """column, count, null_count, nan_count, mean, std, min, p25, p50, p75, max, min_exact, max_exact.
 
-    NaN cells are counted and left out of the statistics. ``mode='approx'`` needs a single scan,
-    ``mode='exact'`` a second one that counts the values close to each quartile.
+    NaN cells are counted and left out of the statistics. Infinite ones take part in the extremes, quartiles and mean; there is
+    no spread then, nor a mean of both infinities. The statistics are doubles; ``min_exact`` and ``max_exact`` give the extremes of integer and
+    decimal columns in their own type, as text. ``mode='approx'`` needs a single scan, ``mode='exact'`` a second one that counts
+    the values close to each quartile.
     """
     names = columns or numeric_columns(df)
     accuracy = accuracy or (SKETCH_ACCURACY if mode == "approx" else ACCURACY)
     quarter = F.array(*[F.lit(q) for q in QUARTILES])
 
-    def stats(c: Column) -> dict[str, Column]:
-        number = c.cast("double")
-        value = F.nanvl(number, F.lit(None).cast("double"))
+    def stats(c: Column, field: T.StructField) -> dict[str, Column]:
+        value = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        own = F.lit(None) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c
         out = {
-            "count": F.count(c),
+            **{k: F.expr(v) for k, v in numeric_stats(quoted_sql(field.name), field.dataType).items()},
             "null_count": _nulls(c),
-            "nan_count": F.count_if(F.isnan(number)),
-            "mean": F.avg(value),
-            "std": F.stddev_samp(value),
-            "min": F.min(value),
-            "max": F.max(value),
+            "min_exact": F.min(own).cast("string"),
+            "max_exact": F.max(own).cast("string"),
         }
         if mode == "approx":
             return {**out, "q": F.percentile_approx(value, quarter, accuracy)}
@@ -130,7 +160,7 @@ def numeric_profile(
         found = quantiles_in(values, ["column"], "value", base, QUARTILES, accuracy).drop("n")
         base = base.join(found, "column", "left")
         cuts = [F.col(quantile_name(p)).alias(n) for p, n in zip(QUARTILES, ("p25", "p50", "p75"))]
-    return base.select("column", "count", "null_count", "nan_count", "mean", "std", "min", *cuts, "max")
+    return base.select("column", "count", "null_count", "nan_count", "mean", "std", "min", *cuts, "max", "min_exact", "max_exact")
 
 
 def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -145,25 +175,31 @@ def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> Da
 def n_unique(df: DataFrame, columns: list[str] | None = None, mode: str = "exact") -> DataFrame:
     """column, n_unique; nulls are not counted.
 
-    Exact counts read one column at a time: several distinct counts in one aggregate would send
-    every row through the shuffle once per column.
+    Exact counts take one scan for all columns of a type; equal cells are merged before they are shuffled.
     """
     names = columns or df.columns
     if mode == "approx":
-        return _one_row_per_column(df, names, lambda c: {"n_unique": F.approx_count_distinct(c)})
-    return union_all(
-        [
-            df.agg(F.count_distinct(quoted(c)).alias("n_unique")).select(F.lit(c).alias("column"), "n_unique")
-            for c in names
-        ]
-    )
+        return _one_row_per_column(df, names, lambda c, _: {"n_unique": F.approx_count_distinct(c)})
+    by_type: dict[str, list[str]] = {}
+    for c in names:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return union_all([_distinct(df, same) for same in by_type.values()])
+
+
+def _distinct(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, n_unique of columns of one type: their cells as rows, made distinct before and after one shuffle."""
+    cells = [F.struct(F.lit(i).alias("i"), quoted(c).alias("v")) for i, c in enumerate(names)]
+    rows = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    counted = rows.distinct().groupBy("i").agg(F.count("*").alias("n"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, column string")
+    return listed.join(counted, "i", "left").select("column", F.coalesce("n", F.lit(0)).alias("n_unique"))
 
 
 def string_profile(df: DataFrame, columns: list[str] | None = None, mode: str = "exact") -> DataFrame:
     """column, count, null_count, n_unique, min, max, min_len, max_len."""
     names = columns or columns_of(df, T.StringType)
 
-    def stats(c: Column) -> dict[str, Column]:
+    def stats(c: Column, _: T.StructField) -> dict[str, Column]:
         size = F.length(c).cast("long")
         out = {
             "count": F.count(c),
@@ -189,7 +225,7 @@ def temporal_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return _one_row_per_column(
         df,
         names,
-        lambda c: {
+        lambda c, _: {
             "count": F.count(c),
             "null_count": _nulls(c),
             "min": F.min(c).cast("string"),
@@ -204,7 +240,7 @@ def boolean_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     base = _one_row_per_column(
         df,
         names,
-        lambda c: {
+        lambda c, _: {
             "count": F.count(c),
             "null_count": _nulls(c),
             "true_count": F.count_if(c),

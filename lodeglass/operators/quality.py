@@ -11,16 +11,35 @@ from lodeglass.operators.profile import columns_of, quoted
 from lodeglass.session import materialise
 
 
+#: Bits of the map of repeated hashes, sent to every task: 16 MB whatever the table. Beyond as many repeated hashes it lets more
+#: rows pass than it should, and they are shuffled; the result does not depend on it.
+MAP_BITS = 1 << 27
+_CHUNK = 1 << 15  # bits of one row of the map
+
+
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Key columns and n for every combination that occurs more than once.
 
-    Only 8-byte hashes of the rows are shuffled first; whole values travel just for the rows whose
-    hash repeats, and those are then grouped by their values, so a hash clash cannot slip in.
+    Only 8-byte hashes of the rows are shuffled first. The repeated ones set bits of a map of fixed size, which lets a second scan
+    drop rows whose hash cannot repeat; whole values travel just for the others, merged before the shuffle and grouped
+    by their values, so a hash clash cannot slip in.
     """
     names = columns or df.columns
     hashed = df.select(*[quoted(c) for c in names], F.xxhash64(*[quoted(c) for c in names]).alias("_h"))
-    repeated = materialise(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
-    suspects = hashed.join(repeated, "_h", "left_semi")
+    repeated = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1")
+    place = F.pmod("_h", F.lit(MAP_BITS))
+    chunk, bit = F.floor(place / _CHUNK).cast("int"), (place % _CHUNK).cast("int")
+    bitmap = materialise(
+        repeated.select(chunk.alias("_chunk"), bit.cast("long").alias("_bit"))
+        .groupBy("_chunk")
+        .agg(F.bitmap_construct_agg("_bit").alias("_bits")),
+        "repeated",
+    )
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.col("_bit") % 8).bitwiseAND(F.lit(1)) == 1
+    marked = hashed.withColumns({"_chunk": chunk, "_bit": bit})
+    # at most MAP_BITS / _CHUNK rows of _CHUNK bits
+    suspects = marked.join(F.broadcast(bitmap), "_chunk").where(is_set)
     return suspects.groupBy(*[quoted(c) for c in names]).agg(F.count("*").alias("n")).where("n > 1")
 
 

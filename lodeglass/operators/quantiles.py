@@ -1,9 +1,9 @@
 """Exact quantiles with linear interpolation, the same way for tables of every size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here one pass brackets each
-wanted rank with ``percentile_approx``, a second pass counts values inside the brackets (a sliver of the
-table) and lumps the rest into gap counts, and a running total over range partitions picks the exact order
-statistics.
+wanted rank with ``percentile_approx``. A second pass counts the values inside the brackets (a sliver of the table) in ``BUCKETS`` equal
+parts each, and lumps the rest into gap counts. Totals of the parts tell which one holds a wanted rank; only the values of those parts are put in
+order, so that no task sorts more than a part of a sliver however large its group is.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from lodeglass.operators.joins import join_on
-from lodeglass.operators.ordering import running_total
 from lodeglass.session import materialise
 
 ACCURACY = 10_000
+#: Parts of a bracket whose values are counted apart.
+BUCKETS = 512
 
 
 def quantile_name(p: float) -> str:
@@ -29,14 +32,17 @@ def quantiles_by(
     probs: list[float],
     mode: str = "exact",
     accuracy: int = ACCURACY,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """One row per group: the group columns, ``n`` and one column per probability.
 
-    Null and NaN values are left out. ``mode='approx'`` returns ``percentile_approx`` values.
+    Null and NaN values are left out. ``mode='approx'`` returns ``percentile_approx`` values. With ``keep_empty`` a group
+    without any value has a row too, with nulls for its quantiles.
     """
     probs = sorted(probs)
     number = F.col(value).cast("double")
-    kept = df.select(*group, F.nanvl(number, F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
+    every = df.select(*group, F.nanvl(number, F.lit(None)).alias("_v"))
+    kept = every.where(F.col("_v").isNotNull())
     names = [quantile_name(p) for p in probs]
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     if mode == "approx":
@@ -47,8 +53,12 @@ def quantiles_by(
         keys = group or ["_all"]
         kept = kept if group else kept.withColumn("_all", F.lit(1))
         stats = bracket_stats(F.col("_v"), probs, accuracy)
-        brackets = kept.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
-        return quantiles_in(kept, keys, "_v", brackets, probs, accuracy).select(*group, "n", *names)
+        if not (keep_empty and group):
+            brackets = kept.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
+            return quantiles_in(kept, keys, "_v", brackets, probs, accuracy).select(*group, "n", *names)
+        brackets = materialise(every.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()]), "brackets")
+        found = quantiles_in(kept, keys, "_v", brackets, probs, accuracy).drop("n")
+        return join_on(brackets.select(*keys, F.col("_n").alias("n")), found, keys, "left").select(*group, "n", *names)
     return found.select(*group, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
 
 
@@ -85,40 +95,43 @@ def quantiles_in(
     highs = F.array(
         *[F.when(whole | F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_ends")[k + i]) for i in range(k)]
     )
-    brackets = materialise(brackets.where("_n > 0").select(*keys, lows.alias("_lo"), highs.alias("_hi")))
+    brackets = materialise(brackets.where("_n > 0").select(*keys, lows.alias("_lo"), highs.alias("_hi")), "brackets")
 
-    # Count the values inside brackets one by one and those in a gap together. A gap is keyed by the
-    # start of the bracket above it and sorts before that bracket, because _in is false there.
-    v = F.col(value)
-    inside = F.lit(False)
-    below = F.lit(None).cast("double")
+    # A value belongs to the first bracket that it is not above; below that bracket it lies in the gap before it.
+    v, at = F.col(value), F.lit(k)
     for i in range(k - 1, -1, -1):
-        inside = inside | v.between(F.col("_lo")[i], F.col("_hi")[i])
-        below = F.when(v < F.col("_lo")[i], F.col("_lo")[i]).otherwise(below)
-    counted = (
-        join_on(kept.select(*keys, value), brackets, keys)
-        .select(
-            *keys,
-            inside.alias("_in"),
-            F.when(inside, v).otherwise(F.coalesce(below, F.lit(float("inf")))).alias("_v"),
-        )
-        .groupBy(*keys, "_in", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    counted = materialise(counted)
-    order = [*[F.col(key) for key in keys], F.col("_v"), F.col("_in")]
-    summed = running_total(counted, order, "_c", "_upto")
-    base = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
-    located = join_on(summed, materialise(base), keys).withColumns(
-        {"_to": F.col("_upto") - F.col("_base"), "_from": F.col("_upto") - F.col("_c") - F.col("_base")}
-    )
-    picks = []
+        at = F.when(v <= F.col("_hi")[i], i).otherwise(at)
+    low_at, high_at = F.get("_lo", F.col("_at")), F.get("_hi", F.col("_at"))
+    width = high_at - low_at
+    share = F.when((width > 0) & (width < float("inf")), (v - low_at) / width * BUCKETS).otherwise(0.0)
+    inside = F.coalesce(v >= low_at, F.lit(False))
+    part = F.when(inside, F.least(F.floor(share), F.lit(BUCKETS - 1))).otherwise(-1).cast("int")
+    placed = join_on(kept.select(*keys, value), brackets, keys).withColumn("_at", at)
+    counted = placed.select(*keys, "_at", part.alias("_part"), F.when(inside, v).alias("_v")).groupBy(
+        *keys, "_at", "_part", "_v"
+    ).agg(F.count("*").alias("_c"))
+    counted = materialise(counted, "counted")
+
+    parts = counted.groupBy(*keys, "_at", "_part").agg(F.sum("_c").alias("_size"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_size").over(group.orderBy("_at", "_part").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = []
     for i, p in enumerate(probs):
         rank = (F.col("n") - 1) * F.lit(float(p))
-        for side, at in (("a", F.floor(rank)), ("b", F.ceil(rank))):
-            hit = (F.col("_from") <= at) & (at < F.col("_to"))
-            picks.append(F.max(F.when(hit & F.col("_in"), F.col("_v"))).alias(f"_{side}{i}"))
-    picked = located.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
+        ranks += [F.struct(F.lit(f"{side}{i}").alias("slot"), r.cast("long").alias("rank"))
+                  for side, r in (("a", F.floor(rank)), ("b", F.ceil(rank)))]
+    summed = parts.withColumns({"n": F.sum("_size").over(group), "_from": upto - F.col("_size"), "_to": upto})
+    held = F.filter(F.array(*ranks), lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to")))
+    wanted = summed.select(*keys, "_at", "_part", "_from", "n", held.alias("_ranks")).where(F.size("_ranks") > 0)
+    values = join_on(wanted, counted, [*keys, "_at", "_part"])
+    inner = Window.partitionBy(*keys, "_at", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_from") + F.sum("_c").over(inner)
+    mine = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_last") - F.col("_c")) & (r["rank"] < F.col("_last")))
+    found = values.withColumn("_last", last).withColumn("_mine", mine).where(F.size("_mine") > 0)
+    slots = [f"{side}{i}" for i in range(k) for side in "ab"]
+    picked = found.select(*keys, "n", "_v", F.explode("_mine.slot").alias("_slot")).groupBy(*keys).agg(
+        F.first("n").alias("n"), *[F.max(F.when(F.col("_slot") == s, F.col("_v"))).alias(f"_{s}") for s in slots]
+    )
     out = []
     for i, p in enumerate(probs):
         rank = (F.col("n") - 1) * F.lit(float(p))

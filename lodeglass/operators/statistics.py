@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -17,36 +20,95 @@ from lodeglass.operators.profile import melt, quoted, union_all
 from lodeglass.operators.quantiles import quantiles_by
 from lodeglass.session import materialise
 
-PAIR_BATCH = 100
+#: Columns of one block of the correlation matrix; a task holds five matrices of twice as many rows and columns at most.
+CORRELATION_BLOCK = 1024
+_MOMENTS = ["n", "mx", "my", "cxx", "cyy", "cxy"]
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, n, r for every column pair x < y over the rows where both are filled.
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every two columns the count, means and centred products of a task's rows in which both are finite numbers.
 
-    Built from the sums of products because ``corr`` raises on a constant column under ANSI rules.
-    Pairs are rows of a narrow aggregate: hundreds of aggregate columns would not be compiled.
+    Values are taken relative to the column's first one, so that large means lose no digits and constants stay exact.
     """
-    pairs = list(combinations(sorted(columns), 2))
-    spark = df.sparkSession
-    parts = []
-    for start in range(0, len(pairs), PAIR_BATCH):
-        cells = [
-            F.struct(
-                F.lit(i).alias("pair"), quoted(x).cast("double").alias("a"), quoted(y).cast("double").alias("b")
-            )
-            for i, (x, y) in enumerate(pairs[start : start + PAIR_BATCH], start)
-        ]
-        sums = df.select(F.inline(F.array(*cells))).groupBy("pair").agg(
-            F.regr_count("b", "a").alias("n"),
-            F.regr_sxy("b", "a").alias("xy"),
-            F.regr_sxx("b", "a").alias("xx"),
-            F.regr_syy("b", "a").alias("yy"),
+    shift: np.ndarray | None = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        held = np.isfinite(x)
+        if shift is None:
+            shift = np.full(x.shape[1], np.nan)
+            n, sums, squares, products = (np.zeros((x.shape[1],) * 2) for _ in range(4))
+        new = np.isnan(shift) & held.any(axis=0)
+        shift[new] = x[held.argmax(axis=0)[new], np.flatnonzero(new)]
+        x = np.where(held, x - np.where(np.isnan(shift), 0.0, shift), 0.0)
+        there = held.astype(float)
+        n += there.T @ there
+        sums += x.T @ there
+        squares += (x * x).T @ there
+        products += x.T @ x
+    if shift is None:
+        return
+    i, j = np.triu_indices(len(shift), 1)
+    i, j = (v[n[i, j] > 0] for v in (i, j))
+    both, sx, sy = n[i, j], sums[i, j], sums[j, i]
+    columns = [both.astype(np.int64), shift[i] + sx / both, shift[j] + sy / both]
+    columns += [squares[i, j] - sx * sx / both, squares[j, i] - sy * sy / both, products[i, j] - sx * sy / both]
+    arrays = [pa.array(c) for c in (i.astype(np.int32), j.astype(np.int32), *columns)]
+    yield pa.RecordBatch.from_arrays(arrays, ["i", "j", *_MOMENTS])
+
+
+def _blocks(k: int, size: int) -> list[tuple[list[int], Column]]:
+    """Sets of columns in which every two columns meet, each with the pairs ``i, j`` that are taken from it.
+
+    All columns together, or every two blocks of ``size``; a block's own pairs are taken from its first set.
+    """
+    parts = [list(range(s, min(s + size, k))) for s in range(0, k, size)]
+    if len(parts) < 2:
+        return [(p, F.lit(True)) for p in parts]
+    of_i, of_j = (F.floor(F.col(c) / size) for c in "ij")
+    out = []
+    for a, b in combinations(range(len(parts)), 2):
+        own = of_i == b if (a, b) != (0, 1) else F.lit(True)
+        out.append((parts[a] + parts[b], (of_i != of_j) | own if a == 0 else of_i != of_j))
+    return out
+
+
+def correlation_matrix(df: DataFrame, columns: list[str], block: int = CORRELATION_BLOCK) -> DataFrame:
+    """x, y, n, r for every column pair x < y over the rows where both are finite numbers; a constant gives null.
+
+    One scan computes all pairs: each task keeps matrices of counts, sums and products and returns a row per pair; the rows are
+    merged as deviations within the tasks plus those between their means. More than ``block`` columns are worked off by two
+    blocks at a time, a scan each.
+    """
+    names, spark = sorted(set(columns)), df.sparkSession
+    cells = [quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+    found = []
+    for mine, taken in _blocks(len(names), block):
+        where = F.array(*[F.lit(m) for m in mine])
+        moments = df.select(*[cells[m] for m in mine]).mapInArrow(
+            _pair_moments, "i int, j int, n long, mx double, my double, cxx double, cyy double, cxy double"
         )
-        parts.append(sums)
-    names = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "pair int, x string, y string")
-    r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
-    return names.join(union_all(parts), "pair", "left").select(
-        "x", "y", F.coalesce("n", F.lit(0)).alias("n"), r.alias("r")
+        found.append(moments.withColumns({c: F.get(where, F.col(c)) for c in "ij"}).where(taken))
+    if not found:
+        return spark.createDataFrame([], "x string, y string, n long, r double")
+    moments = materialise(union_all(found), "moments")
+    least = moments.groupBy("i", "j").agg(F.min("mx").alias("x0"), F.min("my").alias("y0"))
+    dx, dy = F.col("mx") - F.col("x0"), F.col("my") - F.col("y0")
+    n = F.col("n")
+    sums = moments.join(least, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * dx).alias("sx"),
+        F.sum(n * dy).alias("sy"),
+        F.sum(F.col("cxx") + n * dx * dx).alias("xx"),
+        F.sum(F.col("cyy") + n * dy * dy).alias("yy"),
+        F.sum(F.col("cxy") + n * dx * dy).alias("xy"),
+    )
+    sx, sy = F.col("sx"), F.col("sy")
+    spread = (F.col("xx") - sx * sx / n) * (F.col("yy") - sy * sy / n)
+    r = F.when(spread > 0, (F.col("xy") - sx * sy / n) / F.sqrt(spread))
+    pairs = [(i, j, x, y) for (i, x), (j, y) in combinations(enumerate(names), 2)]
+    listed = spark.createDataFrame(pairs, "i int, j int, x string, y string")
+    return listed.join(sums.select("i", "j", "n", r.alias("r")), ["i", "j"], "left").select(
+        "x", "y", F.coalesce("n", F.lit(0)).alias("n"), "r"
     )
 
 
@@ -137,28 +199,33 @@ def outlier_fences(
     method: str = "iqr",
     by: list[str] | None = None,
 ) -> DataFrame:
-    """by columns, column, low, high. ``iqr``: quartiles -/+ 1.5 spreads; ``zscore``: mean -/+ 3 deviations."""
+    """by columns, column, low, high. ``iqr``: quartiles -/+ 1.5 spreads; ``zscore``: mean -/+ 3 deviations.
+
+    Fences come from the finite values; a column (of a group) without any has null fences.
+    """
     keys = [*(by or []), "column"]
     values = melt(df, columns, by)
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    values = values.withColumn("value", finite)
     if method == "iqr":
-        cuts = quantiles_by(values, keys, "value", [0.25, 0.75])
+        cuts = quantiles_by(values, keys, "value", [0.25, 0.75], keep_empty=True)
         reach = (F.col("q0_75") - F.col("q0_25")) * 1.5
         fences = cuts.select(*keys, (F.col("q0_25") - reach).alias("low"), (F.col("q0_75") + reach).alias("high"))
     elif method == "zscore":
-        number = F.nanvl("value", F.lit(None).cast("double"))
-        moments = values.groupBy(*keys).agg(F.avg(number).alias("m"), F.stddev_samp(number).alias("s"))
+        moments = values.groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
         # No spread, no flags: a null fence never compares true.
         reach = F.when(F.col("s") > 0, F.col("s") * 3)
         fences = moments.select(*keys, (F.col("m") - reach).alias("low"), (F.col("m") + reach).alias("high"))
     else:
         raise ValueError(f"unknown outlier method {method!r}")
-    return materialise(fences)
+    return materialise(fences, "fences")
 
 
 def _fenced(df: DataFrame, columns: list[str], fences: DataFrame, keep: list[str]) -> DataFrame:
+    """Every cell with its fences; NaN, which would compare as the largest number, as null."""
     keys = [c for c in fences.columns if c not in ("low", "high")]
     kept = list(dict.fromkeys([*keep, *[k for k in keys if k != "column"]]))
-    values = melt(df, columns, kept).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    values = melt(df, columns, kept).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
     return join_on(values, fences, keys)
 
 
@@ -168,7 +235,7 @@ def outlier_flags(
     method: str = "iqr",
     by: list[str] | None = None,
 ) -> DataFrame:
-    """by columns, column, low, high, n_low, n_high; both comparisons are strict."""
+    """by columns, column, low, high, n_low, n_high; both comparisons are strict, infinite values lie outside all fences."""
     fences = outlier_fences(df, columns, method, by)
     return (
         _fenced(df, columns, fences, [])
