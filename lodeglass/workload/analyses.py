@@ -43,6 +43,37 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("r", F.round("r", 4) + F.lit(0.0))
 
 
+# Thirty columns with gaps of their own, as SQL that both engines read.
+WIDE = {
+    f"c{i:02}": f"CASE WHEN (l_orderkey + l_linenumber) % {i + 3} <> 0 THEN "
+    f"CAST(l_extendedprice * {i % 4} + l_quantity * {i} + (l_partkey % {i + 2}) * 1000 AS DOUBLE) END"
+    for i in range(30)
+}
+
+
+def _wide_sql() -> str:
+    names = list(WIDE)
+    cells = [
+        f"{{'x': '{x}', 'y': '{y}', 'n': regr_count({y}, {x})::BIGINT, 'r': round(regr_sxy({y}, {x}) "
+        f"/ nullif(sqrt(regr_sxx({y}, {x}) * regr_syy({y}, {x})), 0), 4) + 0.0}}"
+        for i, x in enumerate(names)
+        for y in names[i + 1 :]
+    ]
+    columns = ", ".join(f"{sql} AS {name}" for name, sql in WIDE.items())
+    return (
+        f"WITH t AS (SELECT {columns} FROM lineitem), p AS (SELECT unnest([{', '.join(cells)}]) AS p FROM t) "
+        "SELECT p.x, p.y, p.n, p.r FROM p"
+    )
+
+
+@query("correlation_matrix_wide", _wide_sql())
+def correlation_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 435 pairs of thirty columns, each over the rows where both are filled."""
+    lines = table(spark, sf_dir, "lineitem").select(*[F.expr(sql).alias(name) for name, sql in WIDE.items()])
+    found = statistics.correlation_matrix(lines, list(WIDE))
+    return found.withColumn("r", F.round("r", 4) + F.lit(0.0))
+
+
 FREQUENCY_SQL = """
 WITH c AS (SELECT {value} AS value, count(*) AS n FROM {source} GROUP BY 1)
 SELECT value, n, round(n / (SELECT sum(n) FROM c)::DOUBLE, 6) AS share,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.operators.profile import n_unique
 from lodeglass.plans import chaid, segments
 from lodeglass.session import materialise, scratch_path
 from lodeglass.streaming import incremental
 from lodeglass.workload.registry import query, rounded, table
+from lodeglass.workload.tree_sql import tree_sql
 
 # ---- segments ----------------------------------------------------------------------------------
 
@@ -37,19 +37,60 @@ def segment_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("segment_kmeans")
+def _kmeans_sql(points: str, k: int, steps: int = 20, runs: int = 8) -> str:
+    """CTEs ``c`` (the last centres of the best run by place, numbered in their order) and ``assigned``: Lloyd's steps over
+    ``p`` (key, place, v)."""
+    return f"""
+WITH RECURSIVE {points},
+seeds AS (
+  SELECT run, key, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || run || ':' || key::VARCHAR), key) - 1 AS cluster
+  FROM (SELECT DISTINCT key FROM p), (SELECT unnest(range({runs})) AS run)),
+s AS (
+  SELECT 0 AS step, run, cluster, place, v AS c FROM p JOIN seeds USING (key) WHERE cluster < {k}
+  UNION ALL
+  SELECT step + 1, run, cluster, p.place, avg(p.v) FROM p JOIN (
+    SELECT step, run, key, min({{'d': d, 'c': cluster}}).c AS cluster FROM (
+      SELECT step, run, key, cluster, sum((v - c) * (v - c)) AS d FROM s JOIN p USING (place) WHERE step < {steps}
+      GROUP BY step, run, key, cluster) GROUP BY step, run, key) USING (key)
+  GROUP BY step, run, cluster, p.place),
+near AS (
+  SELECT run, key, min({{'d': d, 'c': cluster}}) AS m FROM (
+    SELECT run, key, cluster, sum((v - c) * (v - c)) AS d FROM s JOIN p USING (place) WHERE step = {steps} GROUP BY run, key, cluster)
+  GROUP BY run, key),
+best AS (SELECT run FROM near GROUP BY run ORDER BY sum(m.d), run LIMIT 1),
+named AS (SELECT cluster, row_number() OVER (ORDER BY centre) - 1 AS name FROM (
+  SELECT cluster, list(c ORDER BY place) AS centre FROM s JOIN best USING (run) WHERE step = {steps} GROUP BY cluster)),
+c AS (SELECT name AS cluster, place, c FROM s JOIN best USING (run) JOIN named USING (cluster) WHERE step = {steps}),
+assigned AS (SELECT key, name AS cluster FROM near JOIN best USING (run) JOIN named ON named.cluster = near.m.c)"""
+
+
+EMBEDDED_SQL = """
+p AS (SELECT vec_id AS key, unnest(range(0, len(embedding))) AS place, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
+BUYERS_SQL = """
+b AS (SELECT o_custkey AS key, count(*)::DOUBLE AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey),
+p AS (SELECT key, 0 AS place, (n - (SELECT avg(n) FROM b)) / (SELECT stddev_samp(n) FROM b) AS v FROM b
+      UNION ALL SELECT key, 1, (total - (SELECT avg(total) FROM b)) / (SELECT stddev_samp(total) FROM b) FROM b)"""
+
+
+@query("segment_kmeans", _kmeans_sql(EMBEDDED_SQL, 5) + " SELECT key, cluster::INT AS cluster FROM assigned")
 def segment_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, _ = segments.segment_kmeans(table(spark, sf_dir, "embeddings"), "vec_id", ["embedding"], k=5)
     return assigned
 
 
-@query("segment_kmeans_centres")
+@query(
+    "segment_kmeans_centres",
+    _kmeans_sql(BUYERS_SQL, 4)
+    + """ SELECT c.cluster::INT AS cluster, a.n, round(max(c) FILTER (place = 0), 6) AS n_orders, round(max(c) FILTER (place = 1), 6) AS total
+FROM c JOIN (SELECT cluster, count(*) AS n FROM assigned GROUP BY cluster) AS a ON a.cluster = c.cluster GROUP BY c.cluster, a.n""",
+)
 def segment_kmeans_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total")
     )
     _, centres = segments.segment_kmeans(customers, "o_custkey", ["n_orders", "total"], k=4)
-    return centres
+    places = [F.round(F.col("centre")[i], 6).alias(n) for i, n in enumerate(("n_orders", "total"))]
+    return centres.select("cluster", "n", *places)
 
 
 # ---- the tree ----------------------------------------------------------------------------------
@@ -102,10 +143,27 @@ def chaid_level0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(chaid.category_rates(lines, F.col("dear"), categories), "rate", digits=6)
 
 
-@query("chaid_tree")
+TEXT_TREE_SQL = "WITH RECURSIVE " + tree_sql(
+    "documents", "doc_id", "n_chars > 1500",
+    {
+        "n_lines": "len(string_split(text, chr(10)))",
+        "n_stops": "len(regexp_extract_all(text, '[.]'))",
+        "n_marks": "len(regexp_extract_all(text, '[#%*]{3}'))",
+    },
+    {"lang": "lang"},
+)
+DECISION_SQL = "CASE WHEN rate < 0.2 THEN 'approve' WHEN rate >= 0.6 THEN 'decline' ELSE 'review' END AS decision"
+
+
+@query(
+    "chaid_tree",
+    TEXT_TREE_SQL + "SELECT node_id, parent_id, depth, path, split_column, categories, n, round(rate, 6) AS rate, "
+    "round(adj_p, 10) AS adj_p FROM nodes",
+)
 def chaid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    return chaid.tree_frame(texts, _tree(texts))
+    nodes = chaid.tree_frame(texts, _tree(texts)).withColumn("categories", F.array_join("categories", ", "))
+    return rounded(rounded(nodes, "rate", digits=6), "adj_p", digits=10)
 
 
 @query("chaid_tree_labels")
@@ -117,10 +175,13 @@ def chaid_tree_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaid.tree_frame(texts, chaid.chaid_tree(texts, "quality", 0, predictors, min_leaf=10))
 
 
-@query("risk_policy")
+@query(
+    "risk_policy",
+    TEXT_TREE_SQL + f"SELECT node_id AS leaf_id, path, n, round(rate, 6) AS rate, {DECISION_SQL} FROM nodes WHERE leaf",
+)
 def risk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    return chaid.risk_policy(texts, _tree(texts), approve_below=0.2, decline_from=0.6)
+    return rounded(chaid.risk_policy(texts, _tree(texts), approve_below=0.2, decline_from=0.6), "rate", digits=6)
 
 
 @query(
@@ -138,7 +199,10 @@ def risk_policy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("risk_policy_applied")
+@query(
+    "risk_policy_applied",
+    TEXT_TREE_SQL + f"SELECT key, leaf_id, {DECISION_SQL} FROM routed JOIN nodes ON node_id = leaf_id",
+)
 def risk_policy_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its leaf and decision."""
     texts = _texts(spark, sf_dir)
@@ -250,30 +314,50 @@ def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_profiled(spark, sf_dir).drop("approx_unique"), "mean", "std")
+    return rounded(_profiled(spark, sf_dir).drop("approx_unique", "min_exact", "max_exact"), "mean", "std")
+
+
+UNIQUE = {"user_group": "user_id % 97", "event_hour": "hour(ts)", "value_class": "CAST(floor(value / 10) AS BIGINT) % 50"}
 
 
 @query(
     "incremental_unique",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) > 0 AS close FROM events"
-        for c in ["event_id", "user_id", "value"]
+        f"SELECT '{name}' AS \"column\", count({sql}) AS n, count(DISTINCT {sql}) AS approx_unique FROM events"
+        for name, sql in UNIQUE.items()
     ),
 )
 def incremental_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Are the distinct counts of the merged sketches within 5 % of the exact ones?"""
-    exact = n_unique(table(spark, sf_dir, "events"), ["event_id", "user_id", "value"])
-    both = _profiled(spark, sf_dir).join(exact, "column")
-    return both.select("column", "n", (F.abs(F.col("approx_unique") / F.col("n_unique") - 1) <= 0.05).alias("close"))
+    """Distinct counts of merged sketches; of a few hundred values a sketch forgets none, so they are exact here."""
+    stream = _event_stream(spark, sf_dir).select(*[F.expr(sql).alias(name) for name, sql in UNIQUE.items()])
+    out, state = scratch_path(spark, "incremental"), scratch_path(spark, "incremental_state")
+    incremental.incremental_profile(stream, list(UNIQUE), out, state)
+    return incremental.read_profile(spark, out).select("column", "n", "approx_unique")
 
 
 @query(
     "windowed_counts",
     """
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events
-WHERE date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n,
+       date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) AS closed FROM events GROUP BY ALL""",
 )
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts of the days that closed a day before the newest event."""
+    """Daily counts of all events, and whether the newest event is a day past the end of the day."""
     out, state = scratch_path(spark, "windows"), scratch_path(spark, "windows_state")
     return incremental.windowed_counts(_event_stream(spark, sf_dir), "ts", "event_type", out, state)
+
+
+@query(
+    "windowed_counts_by_arrival",
+    """
+SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n,
+       date_trunc('hour', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events) AS closed FROM events GROUP BY ALL""",
+)
+def windowed_counts_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of all events, which arrive in twelve files against the order of time, one a batch."""
+    path = scratch_path(spark, "arrivals")
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(12, F.col("ts").desc()).write.parquet(path)
+    stream = incremental.file_stream(spark, path, events.schema, files_per_batch=1)
+    out, state = scratch_path(spark, "windows"), scratch_path(spark, "windows_state")
+    return incremental.windowed_counts(stream, "ts", "event_type", out, state, "1 hour", "1 day", fan=4)

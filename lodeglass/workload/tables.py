@@ -94,6 +94,39 @@ def multi_file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes
 
 
+@query("csv_scan_spanning", "SELECT * FROM documents")
+def csv_scan_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in a CSV file as other programs write it: line ends as they are, inside quotes."""
+    path = scratch_path(spark, "csv_foreign")
+    docs = table(spark, sf_dir, "documents")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    good, _ = sources.csv_scan(spark, path, docs.schema, spanning=True)
+    return good
+
+
+@query(
+    "multi_file_ingest_many",
+    """
+SELECT 'ok' AS status, 24 AS files, count(*) AS n_rows, 'o_orderkey int, o_orderdate date, o_totalprice double' AS types FROM orders
+UNION ALL SELECT 'ok', 4, count(*), 'conv_id int, turn int, role string, text string' FROM conversations""",
+)
+def multi_file_ingest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many CSV files at once, those of one table with cells over several lines, and the types found in each."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
+    paths = []
+    for rows, n in ((orders, 24), (table(spark, sf_dir, "conversations"), 4)):
+        folder = scratch_path(spark, "many")
+        rows.repartition(n).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+        paths += [r["path"] for r in listed.select("path").collect()]
+    datasets, outcomes = sources.ingest(spark, paths)
+    types = [(name, ", ".join(f"{c} {t}" for c, t in df.dtypes)) for name, df in datasets.items()]
+    typed = spark.createDataFrame(types, "name string, types string")
+    return outcomes.join(typed, "name").groupBy("status", "types").agg(
+        F.count("*").cast("int").alias("files"), F.sum("n_rows").alias("n_rows")
+    )
+
+
 # ---- sinks -------------------------------------------------------------------------------------
 
 
@@ -204,6 +237,9 @@ def gappy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     discount = F.when(F.col("l_linenumber") != 1, F.col("l_discount"))
     tax = F.when(F.col("l_tax") == 0.08, F.lit(float("nan"))).otherwise(F.col("l_tax"))
     return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
         "l_linenumber",
         "l_quantity",
         "l_extendedprice",
@@ -216,18 +252,24 @@ def gappy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GAPPY_LINEITEM_SQL = """
-SELECT l_linenumber, l_quantity, l_extendedprice,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
        CASE WHEN l_linenumber <> 1 THEN l_discount END AS l_discount,
        CASE WHEN l_tax = 0.08 THEN 'NaN'::DOUBLE ELSE l_tax END AS l_tax,
        nullif(l_returnflag, 'R') AS l_returnflag, l_linestatus, l_shipdate
 FROM lineitem"""
 
-GAPPY_COLUMNS = [
+GAPPY_NUMBERS = [
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
     "l_linenumber",
     "l_quantity",
     "l_extendedprice",
     "l_discount",
     "l_tax",
+]
+GAPPY_COLUMNS = [
+    *GAPPY_NUMBERS,
     "l_returnflag",
     "l_linestatus",
     "l_shipdate",
@@ -235,17 +277,19 @@ GAPPY_COLUMNS = [
 NUMERIC_STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
-def numeric_sql(source: str, columns: list[str]) -> str:
-    """One SELECT per numeric column of the CTE or table ``source``."""
+def numeric_sql(source: str, columns: list[str], whole: list[str]) -> str:
+    """One SELECT per numeric column of the CTE or table ``source``; those of ``whole`` are integers."""
     parts = []
     for c in columns:
+        own = f"{{}}({c})::VARCHAR" if c in whole else "any_value(NULL::VARCHAR)"
         value = f"CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END"
         parts.append(
             f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count,
        count(*) FILTER (isnan({c}::DOUBLE)) AS nan_count, round(avg({value}), 4) AS mean,
        round(stddev_samp({value}), 4) AS std, round(min({value}), 4) AS min,
        round(quantile_cont({value}, 0.25), 4) AS p25, round(quantile_cont({value}, 0.5), 4) AS p50,
-       round(quantile_cont({value}, 0.75), 4) AS p75, round(max({value}), 4) AS max FROM {source}"""
+       round(quantile_cont({value}, 0.75), 4) AS p75, round(max({value}), 4) AS max,
+       {own.format('min')} AS min_exact, {own.format('max')} AS max_exact FROM {source}"""
         )
     return " UNION ALL ".join(parts)
 
@@ -263,39 +307,50 @@ def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.null_counts(gappy_lineitem(spark, sf_dir)), "null_pct")
 
 
-@query("numeric_profile", f"WITH t AS ({GAPPY_LINEITEM_SQL}) " + numeric_sql("t", GAPPY_COLUMNS[:5]))
+@query("numeric_profile", f"WITH t AS ({GAPPY_LINEITEM_SQL}) " + numeric_sql("t", GAPPY_NUMBERS, GAPPY_NUMBERS[:4]))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Always by the distributed quantiles, also where the input would fit in one buffer."""
     return rounded(profile.numeric_profile(gappy_lineitem(spark, sf_dir)), *NUMERIC_STATS)
 
 
+LARGE = {"above": "l_orderkey + 9007199254740993", "below": "-l_orderkey - 9007199254740995"}
+
+
+@query(
+    "numeric_profile_large",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", count(*) AS count, min({sql})::VARCHAR AS min_exact, "
+        f"max({sql})::VARCHAR AS max_exact, median(({sql})::DOUBLE) AS p50 FROM lineitem"
+        for name, sql in LARGE.items()
+    ),
+)
+def numeric_profile_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers that doubles cannot tell apart keep their extremes."""
+    large = table(spark, sf_dir, "lineitem").select(*[F.expr(sql).alias(name) for name, sql in LARGE.items()])
+    return profile.numeric_profile(large).select("column", "count", "min_exact", "max_exact", "p50")
+
+
+FEW_VALUES = ["l_linenumber", "l_quantity", "l_tax"]
+
+
 def _approx_sql() -> str:
     parts = []
-    for c in GAPPY_COLUMNS[:5]:
+    for c in FEW_VALUES:
         value = f"CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END"
+        cuts = ", ".join(f"quantile_disc({value}, 0.{q}) AS p{q}" for q in (25, 50, 75))
         parts.append(
             f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count,
        count(*) FILTER (isnan({c}::DOUBLE)) AS nan_count, round(avg({value}), 4) AS mean,
-       round(stddev_samp({value}), 4) AS std, round(min({value}), 4) AS min, round(max({value}), 4) AS max,
-       count({c}) > 0 AS close FROM t"""
+       round(stddev_samp({value}), 4) AS std, min({value}) AS min, max({value}) AS max, {cuts} FROM t"""
         )
     return f"WITH t AS ({GAPPY_LINEITEM_SQL}) " + " UNION ALL ".join(parts)
 
 
 @query("numeric_profile_approx", _approx_sql())
 def numeric_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single-scan form. ``close``: every sketched quartile has its rank to within a thousandth."""
-    lines = gappy_lineitem(spark, sf_dir)
-    found = materialise(profile.numeric_profile(lines, mode="approx"))
-    values = profile.melt(lines, GAPPY_COLUMNS[:5]).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    close = F.lit(True)
-    for share, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-        below = F.avg((F.col("value") < F.col(name)).cast("double"))
-        upto = F.avg((F.col("value") <= F.col(name)).cast("double"))
-        close = close & (below <= share + 0.001) & (upto >= share - 0.001)
-    judged = values.join(found.select("column", "p25", "p50", "p75"), "column").groupBy("column")
-    checked = found.join(judged.agg(close.alias("close")), "column").drop("p25", "p50", "p75")
-    return rounded(checked, "mean", "std", "min", "max")
+    """The single-scan form. In columns of few values, each on many rows, its sketched quartiles are the exact ones."""
+    found = profile.numeric_profile(gappy_lineitem(spark, sf_dir), FEW_VALUES, mode="approx")
+    return rounded(found.drop("min_exact", "max_exact"), "mean", "std")
 
 
 def string_sql(source: str, columns: list[str]) -> str:
@@ -385,10 +440,10 @@ def long_sql(name: str, types: list[tuple[str, str]]) -> str:
 
     def add(kind: str, column: str | None, stat: str, number: str | None, text: str | None = None) -> None:
         rows.append(
-            f"SELECT '{name}' AS dataset, '{kind}' AS kind, "
-            f"{repr(column) if column else 'NULL::VARCHAR'} AS \"column\", '{stat}' AS stat, "
-            f"{f'round(({number})::DOUBLE, 4)' if number else 'NULL::DOUBLE'} AS value_num, "
-            f"{text or 'NULL::VARCHAR'} AS value_str FROM {name}"
+            f"{{'dataset': '{name}', 'kind': '{kind}', "
+            f"'column': {repr(column) if column else 'NULL::VARCHAR'}, 'stat': '{stat}', "
+            f"'value_num': {f'round(({number})::DOUBLE, 4)' if number else 'NULL::DOUBLE'}, "
+            f"'value_str': {text or 'NULL::VARCHAR'}}}"
         )
 
     add("shape", None, "n_rows", "count(*)")
@@ -412,11 +467,11 @@ def long_sql(name: str, types: list[tuple[str, str]]) -> str:
             add("string", c, "max_len", f"max(length({c}))")
             add("string", c, "min", None, f"min({c})")
             add("string", c, "max", None, f"max({c})")
-        else:
+        elif dtype.startswith("timestamp"):
             add("temporal", c, "count", f"count({c})")
             add("temporal", c, "min", None, f"min({c})::VARCHAR")
             add("temporal", c, "max", None, f"max({c})::VARCHAR")
-    return " UNION ALL ".join(rows)
+    return f"SELECT unnest(r) FROM (SELECT unnest([{', '.join(rows)}]) AS r FROM {name})"
 
 
 CUSTOMER_TYPES = [
@@ -437,7 +492,7 @@ ORDERS_TYPES = [
 
 
 @query(
-    "combined_profile",
+    "combined_profile_exact",
     long_sql("orders", ORDERS_TYPES)
     + " UNION ALL "
     + long_sql("customer", CUSTOMER_TYPES)
@@ -445,13 +500,82 @@ ORDERS_TYPES = [
 UNION ALL SELECT 'doc_' || doc_id, 'text', NULL, 'snippet', NULL,
        CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END FROM documents""",
 )
-def combined_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def combined_profile_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables with exact quartiles and distinct counts, and all documents."""
     tables = {t: table(spark, sf_dir, t) for t in ("orders", "customer")}
     name = F.concat(F.lit("doc_"), "doc_id")
     texts = overview.texts_long(table(spark, sf_dir, "documents"), name, "text")
     return rounded(overview.combined_profile(tables, texts, mode="exact"), "value_num")
 
 
+ALL_TYPES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+SKETCHED = ["p25", "p50", "p75", "n_unique"]
+
+
+def _types(name: str) -> list[tuple[str, str]]:
+    return [tuple(c.split(" ")) for c in ALL_TYPES[name].split(", ")]
+
+
+def _all_sql() -> str:
+    known = {"customer": CUSTOMER_TYPES, "orders": ORDERS_TYPES} | {t: _types(t) for t in ALL_TYPES}
+    parts = [long_sql(t, known[t]) for t in TABLES]
+    sketched = ", ".join(repr(s) for s in SKETCHED)
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE stat NOT IN ({sketched})"
+
+
+@query("combined_profile", _all_sql())
+def combined_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables, a scan each; without the statistics that are sketched in a single scan."""
+    found = overview.combined_profile({t: table(spark, sf_dir, t) for t in TABLES})
+    return rounded(found.where(~F.col("stat").isin(SKETCHED)), "value_num")
+
+
+def _summary_sql(tables: dict[str, list[tuple[str, str]]]) -> str:
+    blocks = []
+    for position, (name, types) in enumerate(tables.items()):
+        lines = []
+        for c, dtype in types:
+            numbers = "printf('; mean %.4f, min %.4f, max %.4f', avg({0}::DOUBLE), min({0}::DOUBLE), max({0}::DOUBLE))"
+            more = f" || {numbers.format(c)}" if dtype in ("int", "bigint", "double") else ""
+            lines.append(f"'- {c} ({dtype}): ' || (count(*) - count({c})) || ' missing'{more} || chr(10)")
+        names = ", ".join(c for c, _ in types)
+        blocks.append(
+            f"SELECT 0 AS kind, {position} AS position, chr(10) || '## Profile: {name}' || chr(10) || 'Shape: (' || count(*) || "
+            f"', {len(types)})' || chr(10) || 'Columns: {names}' || chr(10) || {' || '.join(lines)} AS block FROM {name}"
+        )
+    texts = (
+        "SELECT 1, doc_id, chr(10) || '## Text Document: doc_' || doc_id || chr(10) || 'Snippet: ' "
+        "|| CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END || chr(10) FROM documents"
+    )
+    return (
+        f"WITH b AS ({' UNION ALL '.join(blocks)} UNION ALL {texts}) SELECT kind, (position // 1000)::BIGINT AS part, "
+        "string_agg(block, '' ORDER BY position) AS summary FROM b GROUP BY kind, part"
+    )
+
+
+@query("profile_summary", _summary_sql({t: _types(t) for t in ("nation", "labels", "supplier")}))
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prompt says about three tables and all documents."""
+    tables = {t: table(spark, sf_dir, t) for t in ("nation", "labels", "supplier")}
+    docs = table(spark, sf_dir, "documents")
+    texts = overview.text_sections(docs, F.concat(F.lit("doc_"), "doc_id"), "text", F.col("doc_id"))
+    return overview.profile_summary(tables, texts)
+
+
 @query("export_profiles_json", long_sql("customer", CUSTOMER_TYPES))
 def export_profiles_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export_profiles")
@@ -462,13 +586,13 @@ def export_profiles_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "export_ingested_json",
-    "SELECT event_id, event_type, nullif(props, '{}') AS props, value FROM events",
+    "SELECT event_id, ts, user_id, event_type, nullif(props, '{}') AS props, value FROM events",
 )
 def export_ingested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table through the JSON sink and the JSON source."""
     path = scratch_path(spark, "export_json")
     events = table(spark, sf_dir, "events").select(
-        "event_id", "event_type", null_if(F.col("props"), "{}").alias("props"), "value"
+        "event_id", "ts", "user_id", "event_type", null_if(F.col("props"), "{}").alias("props"), "value"
     )
     exports.export_profiles_json(events, path)
     return sources.read_json(spark, path, events.schema)

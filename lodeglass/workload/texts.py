@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodeglass.functions import text as tx
 from lodeglass.operators import documents, replies
 from lodeglass.operators.profile import dataset_shape, text_profile
+from lodeglass.operators.profile import joined_names as profile_names
 from lodeglass.operators.ordering import number_within
+from lodeglass.plans import overview
 from lodeglass.session import scratch_path
 from lodeglass.sinks import exports
 from lodeglass.sources import tables as sources
@@ -294,6 +296,20 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.conversation_log(exports.read_conversations(spark, path), "conv_id", "seq", "role", "content")
 
 
+@query(
+    "conversation_export",
+    "SELECT conv_id, turn + 1 AS seq, role, text AS content FROM conversations",
+)
+def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole history as JSON, read back; its one append was tried twice under the same name."""
+    path, copy = scratch_path(spark, "conversation_log"), scratch_path(spark, "conversation_json")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    for _ in range(2):
+        exports.append_conversations(said, path, ["turn"], batch="all turns")
+    exports.export_conversations_json(exports.read_conversations(spark, path), copy)
+    return sources.read_json(spark, copy, exports.read_conversations(spark, path).schema)
+
+
 @query(
     "conversation_rollup",
     "SELECT conv_id, role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ALL",
@@ -413,14 +429,57 @@ def results_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "report_sink",
     f"""
-WITH m AS (SELECT markdown FROM ({MARKDOWN_SQL}))
-SELECT unnest(string_split(markdown, chr(10))) AS value FROM m""",
+WITH m AS (SELECT project, markdown FROM ({MARKDOWN_SQL}))
+SELECT project, unnest(string_split(markdown, chr(10))) AS value FROM m""",
 )
 def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of the written reports."""
+    """The lines of the reports, each written under its project's name."""
     path = scratch_path(spark, "report")
-    exports.report_sink(_markdown(spark, sf_dir), "markdown", path, ["project", "part"])
-    return spark.read.text(path).select("value")
+    exports.report_sink(_markdown(spark, sf_dir), "markdown", path, ["project", "part"], name="project")
+    return exports.read_reports(spark, path, "project")
+
+
+TASK_TEMPLATE = (
+    "Project {project}: {problem_statement}\n{previous_results_summary}\nTask: {task_to_execute}\n"
+    "Files: {file_names}\nColumns: {available_columns}\nSample: {data_sample}"
+)
+
+
+@query(
+    "task_prompts",
+    f"""
+WITH {RESULTS_SQL}, fields AS (SELECT project, seq, {RESULT_FIELDS_SQL} FROM results),
+d AS (SELECT project, 'Summary of Previous Tasks:' || chr(10) || string_agg(
+        '- Task ' || seq || ': ' || left(coalesce(task, 'N/A'), 60) || '...', chr(10) ORDER BY seq) AS digest
+      FROM fields WHERE project <> 'P' GROUP BY project),
+s AS (SELECT to_json(list({{'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}} ORDER BY n_nationkey))::VARCHAR
+        AS sample FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 5))
+SELECT project, seq, 'Project ' || project || ': why {{orders}} of ' || project || ' rise' || chr(10)
+       || coalesce(digest, 'No previous analysis tasks completed in this session.') || chr(10) || 'Task: ' || coalesce(task, 'None')
+       || chr(10) || 'Files: nation, orders' || chr(10) || 'Columns: n_nationkey, n_name, n_regionkey' || chr(10)
+       || 'Sample: ' || sample AS prompt
+FROM fields LEFT JOIN d USING (project), s""",
+)
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for every task, with a sample of the data and the digest of the project's results; project P has none yet."""
+    results = numbered_results(spark, sf_dir)
+    digests = documents.task_digest(results.where("project <> 'P'"), "project", "seq", "task", span=None)
+    problem = F.concat(F.lit("why {orders} of "), "project", F.lit(" rise")).alias("problem_statement")
+    tasks = results.select("project", "seq", F.col("task").alias("task_to_execute"), problem)
+    datasets = {t: table(spark, sf_dir, t) for t in ("nation", "orders")}
+    return overview.task_prompts(tasks, TASK_TEMPLATE, datasets, ["n_nationkey"], digests, documents.NO_PREVIOUS_TASKS)
+
+
+@query(
+    "joined_names",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, (SELECT string_agg(column_name, ', ') FROM (DESCRIBE {t})) AS columns, count(*) AS n_rows FROM {t}"
+        for t in TABLES
+    ),
+)
+def joined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datasets = {t: table(spark, sf_dir, t) for t in TABLES}
+    return profile_names(datasets).join(dataset_shape(datasets).select("dataset", "n_rows"), "dataset")
 
 
 def _context_sql() -> str:
@@ -450,3 +509,38 @@ def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents")
     named = documents.text_blocks(texts, F.concat(F.lit("doc_"), "doc_id"), "text", F.col("doc_id"))
     return documents.context_render(datasets, dataset_shape(datasets), named)
+
+
+@query(
+    "context_whole",
+    f"SELECT 0 AS kind, 0::BIGINT AS part, string_agg(context, '' ORDER BY kind) AS context FROM ({_context_sql()}) WHERE kind = 0",
+)
+def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables in one context."""
+    datasets = {t: table(spark, sf_dir, t) for t in TABLES}
+    return documents.context_render(datasets, dataset_shape(datasets), span=None)
+
+
+@query(
+    "fragment_concat_sparse",
+    """
+WITH f AS (SELECT conv_id, turn * 5000 + conv_id % 3 AS place, text FROM conversations)
+SELECT conv_id AS doc, 0::BIGINT AS part, string_agg(text, chr(10) ORDER BY place) AS text FROM f GROUP BY conv_id""",
+)
+def fragment_concat_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions far apart make no parts."""
+    talk = table(spark, sf_dir, "conversations").withColumn("place", F.col("turn") * 5000 + F.col("conv_id") % 3)
+    return documents.fragment_concat(talk, "conv_id", "place", "text")
+
+
+@query(
+    "fragment_concat_corpus",
+    """
+WITH f AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS spot FROM documents)
+SELECT lang AS doc, (spot // 100)::BIGINT AS part, string_agg(text, chr(10) ORDER BY spot) AS text FROM f GROUP BY lang, part""",
+)
+def fragment_concat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a language as the parts of one text, a hundred to a part."""
+    docs = number_within(table(spark, sf_dir, "documents"), ["lang"], [F.col("doc_id")], "at")
+    placed = docs.withColumn("at", F.col("at") - 1)
+    return documents.fragment_concat(placed, "lang", "at", "text", span=100)

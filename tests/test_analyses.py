@@ -1,13 +1,16 @@
 """Statistics, quality, cleaning, documents and the tree on small frames with known answers."""
 
+import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeglass.functions.distributions import chi2_tail
 from lodeglass.operators import documents, periods, quality, statistics
-from lodeglass.plans import chaid, cleaning, segments
+from lodeglass.operators.profile import dataset_shape
+from lodeglass.plans import chaid, cleaning, overview, segments
 from lodeglass.plans.cleaning import Step
 
 
@@ -35,6 +38,38 @@ def test_correlation_edges(spark):
     }
 
 
+def masked_pearson(x, y):
+    both = np.isfinite(x) & np.isfinite(y)
+    x, y = x[both], y[both]
+    if not len(x) or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return len(x), None
+    return len(x), np.corrcoef(x, y)[0, 1]
+
+
+@pytest.mark.parametrize("block", [1024, 7, 3])
+def test_two_hundred_columns_pairwise_complete(spark, block):
+    rng = np.random.default_rng(1)
+    k = 200 if block == 1024 else 20
+    values = rng.normal(size=(400, k)).cumsum(axis=1) + rng.choice([0.0, 1e9, -1e6], k)
+    values[rng.random(values.shape) < 0.3] = np.nan
+    values[:, 3], values[:, 5], values[5, 7] = np.nan, 0.1, np.inf
+    names = [f"c{i:03}" for i in range(k)]
+    rows = [[None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(r)] for r in values]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(6)
+    got = {(r["x"], r["y"]): (r["n"], r["r"]) for r in statistics.correlation_matrix(df, names, block).collect()}
+    assert len(got) == k * (k - 1) // 2
+    for i, j in itertools.combinations(range(k), 2):
+        n, r = got[names[i], names[j]]
+        want_n, want = masked_pearson(values[:, i], values[:, j])
+        assert n == want_n and (r is None) == (want is None)
+        assert r is None or r == pytest.approx(want, abs=1e-6)
+
+
+def test_correlation_of_few_columns(spark):
+    df = spark.createDataFrame([(1.0,)], "a double")
+    assert statistics.correlation_matrix(df, ["a"]).count() == statistics.correlation_matrix(df, []).count() == 0
+
+
 def test_frequency_ties_and_nulls(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), (None,), ("c",)], "v string")
     full = statistics.frequency_counts(df, "v").orderBy("rank").collect()
@@ -177,6 +212,62 @@ def test_long_documents_come_in_parts(spark):
     assert "\n".join(r["text"] for r in got) == "\n".join(f"p{i}" for i in range(25))
 
 
+@pytest.mark.parametrize("span", [1, 3, 10, 1000, None])
+def test_parts_hold_any_positions_in_order(spark, span):
+    rng = np.random.default_rng(3)
+    rows = []
+    for doc in range(6):
+        places = sorted({int(p) for p in rng.choice([0, 1, 2, 3, 50, 51, 5000, -7, 10**12], rng.integers(1, 9))})
+        rows += [(doc, p, f"{doc}:{p}") for p in places]
+    rows += [(9, p, str(p)) for p in range(25)]
+    df = spark.createDataFrame(rows, "doc int, s long, t string").repartition(5)
+    parts = documents.fragment_concat(df, "doc", "s", "t", span=span).collect()
+    for doc in {r[0] for r in rows}:
+        mine = sorted((r["part"], r["text"]) for r in parts if r["doc"] == doc)
+        assert [p for p, _ in mine] == list(range(len(mine)))
+        assert "\n".join(t for _, t in mine) == "\n".join(t for d, _, t in sorted(rows) if d == doc)
+        assert span is None or all(t.count("\n") + 1 < 2 * span or span == 1 for _, t in mine)
+    if span == 10:
+        assert len([r for r in parts if r["doc"] == 9]) == 3
+
+
+@pytest.mark.parametrize("span", [1000, None])
+def test_null_and_repeated_positions_are_refused(spark, span):
+    for rows, message in (([(1, None)], "null"), ([(1, 4), (1, 4)], "twice")):
+        df = spark.createDataFrame([(*r, "t") for r in rows], "doc int, s long, t string")
+        with pytest.raises(Exception, match=message):
+            documents.fragment_concat(df, "doc", "s", "t", span=span).collect()
+    empty = spark.createDataFrame([], "doc int, s long, t string")
+    assert documents.fragment_concat(empty, "doc", "s", "t", span=span).count() == 0
+
+
+def test_one_context_of_tables_and_texts(spark):
+    texts = spark.createDataFrame([(7, "b"), (3, "a")], "position long, block string")
+    datasets = {"x": spark.range(2)}
+    shapes = dataset_shape(datasets)
+    row = documents.context_render(datasets, shapes, texts, span=None).collect()
+    assert [tuple(r) for r in row] == [(0, 0, "\nFile: x\n- Columns: ['id']\n- Shape: (2, 1)\nab")]
+    assert documents.context_render({}, None).first()["context"] == documents.NO_FILES
+
+
+def test_summary_of_nothing_and_of_empty_tables(spark):
+    assert overview.profile_summary({}).first()["summary"] == overview.NO_SUMMARY
+    empty = spark.createDataFrame([], "a double, b string")
+    text = overview.profile_summary({"e": empty}).first()["summary"]
+    assert text == "\n## Profile: e\nShape: (0, 2)\nColumns: a, b\n- a (double): 0 missing\n- b (string): 0 missing\n"
+
+
+def test_task_prompts_need_every_placeholder(spark):
+    tasks = spark.createDataFrame([("p", 1, "do {it}")], "project string, seq long, task_to_execute string")
+    digests = spark.createDataFrame([], "project string, digest string")
+    data = {"x": spark.range(3)}
+    row = overview.task_prompts(tasks, "{task_to_execute}|{previous_results_summary}|{data_sample}|{available_columns}|{file_names}",
+                                data, ["id"], digests, "none", 2).first()
+    assert row["prompt"] == 'do {it}|none|[{"id":0},{"id":1}]|id|x'
+    with pytest.raises(KeyError):
+        overview.task_prompts(tasks, "{mood}", data, ["id"], digests, "none")
+
+
 def test_empty_fragments(spark):
     df = spark.createDataFrame([("d", 0, "a"), ("d", 1, ""), ("d", 2, None), ("d", 3, "b")], "doc string, s int, t string")
     assert documents.fragment_concat(df, "doc", "s", "t").first()["text"] == "a\n\n\nb"
@@ -278,6 +369,73 @@ def test_too_many_categories_is_an_error(spark):
         chaid.chaid_tree(df, "y", 1, ["x"])
 
 
+def test_limits_are_exact(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("y"), (F.col("id") % 21).cast("string").alias("x"))
+    with pytest.raises(ValueError, match="21 categories"):
+        chaid.chaid_tree(df, "y", 1, ["x"])
+    assert len(chaid.chaid_tree(df, "y", 1, ["x"], max_categories=21).nodes) == 1
+    with pytest.raises(ValueError, match="more than 1 classes"):
+        chaid.chaid_tree(df, "y", 1, ["x"], max_categories=21, max_classes=1)
+
+
+def all_cuts(categories, ordered):
+    known = [c for c in categories if c != chaid.MISSING]
+    for k in range(1, len(categories)):
+        for left in itertools.combinations(categories, k):
+            right = [c for c in categories if c not in left]
+            places = [known.index(c) for c in left if c in known]
+            whole = [known.index(c) for c in right if c in known]
+            if ordered and places and whole and not (max(places) < min(whole) or max(whole) < min(places)):
+                continue
+            yield left, right
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("seed", range(12))
+def test_resplit_finds_the_best_of_all_cuts(ordered, seed):
+    rng = np.random.default_rng(seed)
+    names = tuple(f"b{i:02}" for i in range(rng.integers(3, 7))) + ((chaid.MISSING,) if seed % 2 else ())
+    counts = {c: [int(v) for v in rng.integers(1, 60, 2)] for c in names}
+    best = max(chaid._chi2([chaid._sum(counts, a), chaid._sum(counts, b)])[0] for a, b in all_cuts(names, ordered))
+    group = (names, chaid._sum(counts, names))
+    found = chaid._resplit(counts, group, ordered, 1.0, 1)
+    assert chaid._chi2([g[1] for g in found])[0] == pytest.approx(best)
+    assert sorted(c for g in found for c in g[0]) == sorted(names)
+    assert chaid._resplit(counts, group, ordered, 0.0, 1) == [group]
+    assert chaid._resplit(counts, group, ordered, 1.0, 10_000) == [group]
+
+
+def test_merged_groups_are_cut_again():
+    # b and c join first, being most alike; a then joins them, until its difference from c shows
+    counts = {"a": [40, 60], "b": [50, 50], "c": [53, 47], "d": [58, 42], "e": [20, 80]}
+    plain = {g[0] for g in chaid._merge(counts, True, 0.05, 1)}
+    for alpha in (0.04, 0.049):
+        cut = chaid._merge(counts, True, 0.05, 1, alpha)
+        for group in cut:  # a fixed point: no group can be cut, or its cuts were tried
+            assert len(group[0]) < 3 or len(chaid._resplit(counts, group, True, 0.001, 1)) == 1
+        assert sorted(c for g in cut for c in g[0]) == list("abcde")
+    assert plain
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_resplitting_ends(seed):
+    rng = np.random.default_rng(seed)
+    names = [f"b{i:02}" for i in range(10)] + [chaid.MISSING]
+    counts = {c: [int(v) for v in rng.integers(20, 60, 3)] for c in names}
+    for ordered in (True, False):
+        groups = chaid._merge(counts, ordered, 0.05, 1, 0.2)  # a level above the merging one would go round for ever
+        assert sorted(c for g in groups for c in g[0]) == sorted(names)
+
+
+def test_routing_is_a_join_for_each_level(loans, tree):
+    routed = chaid.apply_policy(loans, "id", tree, 0.2, 0.5)
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == max(n.depth for n in tree.nodes) + 1
+    strange = loans.limit(1).withColumn("region", F.lit("nowhere")).withColumn("income", F.lit(None).cast("double"))
+    row = chaid.apply_policy(strange, "id", tree, 0.2, 0.5).first()
+    assert row["leaf_id"] is None and row["decision"] is None
+
+
 def test_missing_category_joins_any_group():
     counts = {"b00": [50, 0], "b01": [50, 1], "b02": [0, 50], chaid.MISSING: [0, 40]}
     groups = chaid._merge(counts, True, 0.05, 10)

@@ -2,13 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeglass.functions.distributions import chi2_tail
-from lodeglass.operators import documents, periods, statistics
+from lodeglass.operators import documents, periods, profile, quantiles, statistics
 from lodeglass.plans.chaid import chaid_tree
 from lodeglass.plans.cleaning import Step, clean_dataset
+from lodeglass.streaming import incremental
 
 NAN, INF = float("nan"), float("inf")
 
@@ -76,4 +78,47 @@ def test_headings_stand_on_the_first_part_wherever_it_starts(spark):
     rows = spark.createDataFrame([("p", 1001, "a"), ("p", 2500, "b"), ("q", 1, "c")], "project string, seq long, task string")
     got = {(r["project"], r["part"]): r["digest"] for r in documents.task_digest(rows, "project", "seq", "task").collect()}
     titled = {k for k, v in got.items() if v.startswith(documents.DIGEST_HEADING)}
-    assert titled == {("p", 1), ("q", 0)} and len(got) == 3
+    assert titled == {("p", 0), ("q", 0)} == got.keys()
+
+
+def test_fences_of_infinite_and_all_null_columns(spark):
+    rows = [(float(i), None, INF if i == 3 else -INF if i == 4 else float(i)) for i in range(12)] + [(NAN, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    for method in ("iqr", "zscore"):
+        got = {r["column"]: r for r in statistics.outlier_flags(df, ["a", "b", "c"], method).collect()}
+        assert (got["a"]["n_low"], got["a"]["n_high"]) == (0, 0)
+        assert tuple(got["b"]) == ("b", None, None, 0, 0)
+        assert math.isfinite(got["c"]["low"]) and (got["c"]["n_low"], got["c"]["n_high"]) == (1, 1)
+        flagged = {(r["column"], r["value"]) for r in statistics.outlier_rows(df, "a", ["a", "b", "c"], method).collect()}
+        assert flagged == {("c", INF), ("c", -INF)}
+    by = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", None), (None, 3.0)], "g string, v double")
+    got = {r["g"]: tuple(r)[2:] for r in statistics.outlier_flags(by, ["v"], by=["g"]).collect()}
+    assert got == {"x": (0.5, 2.5, 0, 0), "y": (None, None, 0, 0), None: (3.0, 3.0, 0, 0)}
+
+
+def test_extremes_in_their_own_type(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "1.50", INF), (-big, "-2.25", 1.0), (None, None, None)], "a long, b string, c double")
+    df = df.withColumn("b", F.col("b").cast("decimal(30,2)"))
+    got = {r["column"]: r for r in profile.numeric_profile(df).collect()}
+    assert (got["a"]["min_exact"], got["a"]["max_exact"]) == (str(-big), str(big))
+    assert (got["b"]["min_exact"], got["b"]["max_exact"]) == ("-2.25", "1.50")
+    assert (got["c"]["min_exact"], got["c"]["max"], got["c"]["mean"], got["c"]["std"]) == (None, INF, INF, None)
+    stats = incremental.merge_stats(incremental.batch_stats(df, ["a", "b", "c"])).collect()
+    exact = {r["column"]: (r["min_exact"], r["max_exact"]) for r in stats}
+    assert exact["a"] == (-big, big) and float(exact["b"][1]) == 1.5 and exact["c"] == (None, None)
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_of_small_sketches_and_skewed_groups(spark, accuracy):
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in rng.lognormal(size=4000)] + [("same", 7.0)] * 500 + [("one", 1.0), (None, 2.0)]
+    rows += [("wide", v) for v in (-INF, -1e308, 1e308, INF, 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["g"]: r for r in quantiles.quantiles_by(df, ["g"], "v", probs, accuracy=accuracy).collect()}
+    for g in ("hot", "same", "one", None):
+        mine = [v for k, v in rows if k == g]
+        want = np.quantile(mine, probs)
+        assert [got[g][quantiles.quantile_name(p)] for p in probs] == pytest.approx(list(want))
+    assert (got["wide"]["q0"], got["wide"]["q0_5"], got["wide"]["q1"]) == (-INF, 0.0, INF)
