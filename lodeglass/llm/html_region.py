@@ -5,12 +5,16 @@ class, id and role), a tag scores below zero. One linear scan finds the contiguo
 inside it whose own score is below zero (an advert or a form amid an article) are left out.
 
 Weights are log-odds counted on labelled pages: pages whose content region is known. ``SEED_PAGES`` are hand-labelled
-layouts; ``labelled_by_article`` takes pages of a table whose one article element marks the region, a bounded sample of them.
-Counting runs on Spark; the weights (at most ``MOST_FEATURES``, the most frequent) travel with the tasks. Extraction is one narrow pass.
-
-Text rules: character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by one
-blank in page order. Scripts, styles, templates, heads and comments hold no words. Null or empty pages give an empty text.
-Rows are handled one by one, so repeated rows repeat their result; the greatest sum that starts first wins a tie.
+layouts; ``labelled_by_article`` takes pages of a table whose one article element marks the region, a bounded sample of them. The mark itself is
+taken out before counting, and containers that hold menus as well as content (``CONTAINERS``) are judged by the hand-labelled layouts
+alone, so that what is learnt holds for pages without that element too. Counting runs on Spark; the weights, those of the bounded
+sample, travel with the tasks. Extraction is one narrow pass.
+
+Text rules: character references are decoded in each piece of text between tags, white space inside a block becomes one blank, blocks are
+trimmed and joined by one blank in page order. Images, scripts and other elements inside a line do not end it. Scripts, styles, templates,
+heads and comments hold no words. Null or empty pages give an empty text, an empty table an empty result; a column of the
+result's name in the input is an error. Rows are handled one by one, so repeated rows repeat their result; the greatest sum that
+starts first wins a tie.
 """
 
 from __future__ import annotations
@@ -27,8 +31,7 @@ from pyspark.sql import functions as F
 
 from lodeglass.llm.columns import require
 
-#: Entries of the weight table, and pages to learn from (met within a few percent: chosen by hash).
-MOST_FEATURES = 20_000
+#: Pages to learn from (met within a few percent: chosen by hash).
 SAMPLE_PAGES = 500
 _SEED_WEIGHT = 20  # a labelled layout counts as this many pages
 #: Least and greatest log-odds of a feature: sections and class parts say much, plain elements little, so that a list
@@ -49,6 +52,9 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav "
     "ol p pre section table ul".split()
 )
+#: Elements whose content goes on in the line around them, whether it is text or not.
+IN_LINE = INLINE | SILENT - {"head", "title"} | frozenset("img picture source track audio video canvas embed input map area param".split())
+CONTAINERS = frozenset("article div section main body html".split())
 SECTIONS = frozenset("article aside footer form header main nav".split())
 SELF_CLOSING = frozenset("li dt dd tr td th".split())  # a new one ends the one before it
 
@@ -159,19 +165,31 @@ def segments(page: str) -> Iterator[tuple[int, str, tuple, str]]:
         yield at, page[at:], path, ""
 
 
+def _is_container(feature: str) -> bool:
+    return feature.lstrip("</") in CONTAINERS
+
+
+def _log_odds(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
+    inside, outside = counts.get("", (0, 0))
+    out = {}
+    for feature, (a, b) in counts.items():
+        if feature:
+            odds = math.log((a + 1) / (inside + 2)) - math.log((b + 1) / (outside + 2))
+            low, high = _SECTION_LIMITS if feature in SECTIONS or feature[0] == "." else _PLAIN_LIMITS
+            out[feature] = max(low, min(high, odds))
+    return out
+
+
 class Weights:
     """Scores of words by their surroundings and of tags by their name."""
 
-    def __init__(self, counts: dict[str, tuple[float, float]]) -> None:
-        inside = sum(c[0] for f, c in counts.items() if f == "")
-        outside = sum(c[1] for f, c in counts.items() if f == "")
-        self._log_odds = {}
-        for feature, (a, b) in counts.items():
-            if feature:
-                odds = math.log((a + 1) / (inside + 2)) - math.log((b + 1) / (outside + 2))
-                section = feature in SECTIONS or feature[0] == "."
-                low, high = _SECTION_LIMITS if section else _PLAIN_LIMITS
-                self._log_odds[feature] = max(low, min(high, odds))
+    def __init__(self, counts: dict[str, tuple[float, float]], containers: dict[str, tuple[float, float]] | None = None) -> None:
+        """``counts`` inside and outside by feature, all words under ''; ``containers`` judges ``CONTAINERS`` instead, where given."""
+        self._log_odds = _log_odds(counts)
+        if containers is not None:
+            own = _log_odds(containers)
+            self._log_odds = {f: v for f, v in self._log_odds.items() if not _is_container(f)}
+            self._log_odds |= {f: v for f, v in own.items() if _is_container(f)}
         self._words: dict[tuple, float] = {}
 
     def word(self, path: tuple[str, ...]) -> float:
@@ -193,7 +211,7 @@ def extract(page: str | None, weights: Weights) -> str:
     total, start = 0.0, 0
     for _, text, path, tag in segments(page or ""):
         if tag:
-            score, breaks = weights.tag(tag), tag.lstrip("/") not in INLINE
+            score, breaks = weights.tag(tag), tag.lstrip("/") not in IN_LINE
             found.append(("", 0.0, breaks))
         else:
             each = weights.word(path)
@@ -207,10 +225,10 @@ def extract(page: str | None, weights: Weights) -> str:
     blocks, line = [], []
     for text, each, breaks in [*found[best_from:best_to], ("", 0.0, True)]:
         if breaks:
-            blocks.append(" ".join(entities.unescape("".join(line)).split()))
+            blocks.append(" ".join("".join(line).split()))
             line = []
         elif text and each > 0:
-            line.append(text)
+            line.append(entities.unescape(text))
     return " ".join(b for b in blocks if b)
 
 
@@ -227,6 +245,13 @@ def count_features(page: str, regions: list[tuple[int, int]]) -> dict[str, tuple
     return {f: (inside[f], outside[f]) for f in inside.keys() | outside.keys()}
 
 
+def without_mark(page: str, start: int, end: int) -> tuple[str, tuple[int, int]]:
+    """The page without the tags that mark its region from ``start`` to ``end``, and the region there."""
+    opened = page.index(">", start) + 1
+    closed = page.index(">", end) + 1
+    return page[:start] + page[opened:end] + page[closed:], (start, start + end - opened)
+
+
 def _seed_counts() -> Counter:
     sums: Counter = Counter()
     for page in SEED_PAGES:
@@ -237,6 +262,10 @@ def _seed_counts() -> Counter:
     return sums
 
 
+def _paired(sums: Counter) -> dict[str, tuple[float, float]]:
+    return {f: (sums[f, 0], sums[f, 1]) for f in {k[0] for k in sums}}
+
+
 def labelled_by_article(pages: DataFrame, html: str = "html", pages_to_learn: int = SAMPLE_PAGES) -> DataFrame:
     """``html``, ``start`` and ``end`` of pages with exactly one article element: about ``pages_to_learn``, by hash."""
     require(pages, html)
@@ -261,7 +290,9 @@ def learn(spark: SparkSession, labelled: DataFrame | None = None) -> Weights:
             for batch in batches:
                 rows = []
                 for page, start, end in zip(*[batch.column(n).to_pylist() for n in range(3)], strict=True):
-                    rows += [(f, a, b) for f, (a, b) in count_features(page, [(start, end)]).items()]
+                    plain, region = without_mark(page, start, end)
+                    counts = count_features(plain, [region])
+                    rows += [(f, a, b) for f, (a, b) in counts.items() if not _is_container(f)]
                 if rows:
                     kinds = [pa.string(), pa.int64(), pa.int64()]
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -269,11 +300,10 @@ def learn(spark: SparkSession, labelled: DataFrame | None = None) -> Weights:
 
         counted = labelled.select("html", "start", "end").mapInArrow(count, "feature string, inside bigint, outside bigint")
         totals = counted.groupBy("feature").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
-        # the weight table is bounded: the most frequent features, always with the total of all words
-        for r in totals.orderBy((F.col("feature") != "").cast("int"), F.desc(F.col("a") + F.col("b")), "feature").limit(MOST_FEATURES).collect():
+        for r in totals.collect():  # of the sample alone
             sums[r["feature"], 0] += r["a"]
             sums[r["feature"], 1] += r["b"]
-    return Weights({f: (sums[f, 0], sums[f, 1]) for f in {k[0] for k in sums}})
+    return Weights(_paired(sums), _paired(_seed_counts()))
 
 
 def extract_pages(pages: DataFrame, weights: Weights, html: str = "html", name: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 import pytest
 
@@ -23,6 +24,27 @@ def test_query_gives_the_articles(spark, sf):
         assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], want, len(want))
 
 
+OTHER_MARKS = [("<div>", "</div>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ("<section>", "</section>"), ("", "")]
+
+
+@pytest.mark.parametrize(("opened", "closed"), OTHER_MARKS)
+def test_what_is_learnt_holds_without_the_mark(spark, sf, opened, closed):
+    """Weights from pages with an article element, used on the same pages with another element or none."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_region.learn(spark, html_region.labelled_by_article(pages))
+    words = found = more = 0
+    for r in pages.collect():
+        want = Counter(article_text(r["html"]).split())
+        got = Counter(html_region.extract(r["html"].replace("<article>", opened).replace("</article>", closed), weights).split())
+        words, found, more = words + want.total(), found + (want & got).total(), more + (got - want).total()
+    assert found >= 0.95 * words and more <= 0.05 * words
+
+
+def test_the_mark_is_taken_out():
+    page, region = html_region.without_mark("<p>x</p><article class='a'>in<b>side</b></article>out", 8, 40)
+    assert page == "<p>x</p>in<b>side</b>out" and page[region[0] : region[1]] == "in<b>side</b>"
+
+
 def scored(page, weights):
     out = []
     for _, text, path, tag in html_region.segments(page):
@@ -56,6 +78,9 @@ LAYOUT = """<html><head><title>t</title><style>p{{}}</style></head><body class="
         ("<article><p>text <a href='x>y'>linked</a> words<script>var a='</p>'</script></p></article>", "text linked words"),
         ("<article><p>unclosed text<p>more &amp;amp; text", "unclosed text more &amp; text"),
         ("<nav><ul><li><a>only</a></li></ul></nav>", ""),
+        ("<article><p>foo<img src='x'>bar b<script>s()</script>az</p></article>", "foobar baz"),
+        ("<article><p>A &<b>lt;</b> &#x<i>41;</i> &amp;lt;</p></article>", "A &lt; &#x41; &lt;"),
+        ("<article><p>one<svg><path d='M0'/></svg>two<br/>three<hr>four</p></article>", "onetwo three four"),
     ],
 )
 def test_rules(spark, inner, want):
