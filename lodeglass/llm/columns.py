@@ -36,3 +36,10 @@ def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if df.columns.count(name) != 1:
             raise ValueError(f"column {name!r} must be there once, not {df.columns.count(name)} times")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes not to be a column of ``df``."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

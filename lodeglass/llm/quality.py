@@ -5,7 +5,8 @@ that is a bit mask: applying one, comparing two or asking what a rule alone remo
 never the texts. Everything is DataFrame functions: one narrow pass, no shuffle, no Python worker.
 
 Null text counts as a text without words; an empty text likewise. Both fail the word count. Repeated rows are measured
-one by one. Texts of any length are measured whole: windows are sorted within the row, n log n in its words.
+one by one, an empty table gives an empty ledger; ties do not arise. Columns of the input stay, whatever their names, but one named like a
+measurement is an error. Texts of any length are measured whole: windows are sorted within the row, n log n in its words.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.llm.columns import WORD_CHAR, let, require, words_of
+from lodeglass.llm.columns import WORD_CHAR, fresh, let, require, words_of
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
@@ -89,8 +90,9 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     words = words_of(F.col(text))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD_CHAR))
+    words_at, lines_at = (fresh(documents, name) for name in ("_m", "_l"))
     counted = documents.withColumn(
-        "_m",
+        words_at,
         let(
             words,
             lambda w: F.struct(
@@ -100,7 +102,7 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
             ),
         ),
     ).withColumn(
-        "_l",
+        lines_at,
         let(
             lines,
             lambda x: F.struct(
@@ -111,12 +113,12 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     )
     return counted.select(
         *documents.columns,
-        "_m.n_words",
-        "_m.word_chars",
+        F.col(words_at)["n_words"].alias("n_words"),
+        F.col(words_at)["word_chars"].alias("word_chars"),
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        "_l.n_dup_lines",
-        "_m.n_repeat_words",
-        "_l.n_lines",
+        F.col(lines_at)["n_dup_lines"].alias("n_dup_lines"),
+        F.col(words_at)["n_repeat_words"].alias("n_repeat_words"),
+        F.col(lines_at)["n_lines"].alias("n_lines"),
         F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
 

@@ -97,3 +97,9 @@ def test_empty_extra_columns_and_no_python(make):
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="n_words"):
         quality.ledger(make([(1, "a", 3)], "doc_id long, text string, n_words long"))
+
+
+def test_columns_with_the_names_used_inside_stay(make):
+    df = make([(1, "a b c", 5, "x")], "doc_id long, text string, _m long, _L string")
+    row = quality.ledger(df).first()
+    assert (row["_m"], row["_L"], row["n_words"], row["n_lines"]) == (5, "x", 3, 1)
