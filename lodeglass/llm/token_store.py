@@ -9,7 +9,9 @@ Files are written by range: documents are range-partitioned and sorted by id, ea
 ``most`` ids, which bounds its memory) and returns one manifest row per file. A file name is never reused, and only files in
 the manifest are read, so repeated or lost tasks do no harm. The target must be a folder that every executor can reach.
 
-Null text counts as empty and yields the end id only. Null ids sort first. Repeated rows are written each.
+Texts are encoded as the library's plain call does, so the strings of added tokens in them become those tokens. Null text counts as empty and
+yields the end id only. Null ids sort first, equal ones by a hash of their text. Repeated rows are written each, an empty table gives an
+empty manifest, other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -154,12 +156,14 @@ def _tokenizer(data: bytes):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(data)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     spec = json.loads(data)
+    added = spec.get("added_tokens") or []
+    marks = [t["content"] for t in added]  # the library cuts texts at these first
     plain = {"type": "ByteLevel", "add_prefix_space": False}
     pre = {k: (spec.get("pre_tokenizer") or {}).get(k) for k in plain}
     apart = pre == plain and (spec["pre_tokenizer"].get("use_regex", True)) and not spec.get("normalizer")
     apart = apart and not spec.get("truncation")
+    apart = apart and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
 
     def whole(part: str) -> bytes:
         return np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -175,7 +179,7 @@ def _tokenizer(data: bytes):
     pieces = Remembered(piece, REMEMBERED)
 
     def chunk(part: str) -> bytes:
-        if max(part) < _SETTLED:
+        if max(part) < _SETTLED and not any(m in part for m in marks):
             return b"".join(map(pieces.__getitem__, split(part)))
         return whole(part)
 

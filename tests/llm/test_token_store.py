@@ -17,7 +17,6 @@ PATH = public_tokenizers.path(TOKENIZER)
 @cache
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -57,8 +56,15 @@ def test_random_access(ids, data):
         file[len(ids)]
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>. é漢"])
+def test_added_tokens_in_texts(text):
+    with open(PATH, "rb") as file:
+        found = np.frombuffer(token_store._tokenizer(file.read())(text), "<u4").tolist()
+    assert [*found, 0] == library()(text) and 50256 in found
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(alphabet="  \n\t'strevmdl abTH12²½éß漢🙂.,!?-<|endoftext>", max_size=40), st.text(max_size=40)))
+@given(st.one_of(st.lists(st.sampled_from(["<|endoftext|>", "a", " b", " ", "\n", "é", "漢"])).map("".join), st.text(alphabet="  \n\t'strevmdl abTH12²½éß漢🙂.,!?-<|endoftext>", max_size=40), st.text(max_size=40)))
 def test_any_text_as_the_library_encodes(text):
     with open(PATH, "rb") as file:
         encode = token_store._tokenizer(file.read())
