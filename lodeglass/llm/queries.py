@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,7 +220,10 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
+@query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules, line dedup, near-dedup, decontamination and encoding, one after the other."""
+    """Quality rules, line dedup, near-dedup, decontamination and encoding, one after the other. Its script lies beside the
+    driver's entry, not in this package, and is imported when it runs."""
+    import corpus_pipeline
+
     return corpus_pipeline.run(spark, sf_dir)
