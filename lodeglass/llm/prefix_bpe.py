@@ -40,13 +40,29 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self._above = max(self.bytes_of) + 2
-        sizes: dict[bytes, set[int]] = {}
-        for token in ranks:
-            sizes.setdefault(token[-3:], set()).add(len(token))
-        self._sizes = {end: (*sorted(has - {1, 2}, reverse=True), 2, 1) for end, has in sizes.items()}  # by last bytes
+        self._ending = self._by_ending()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._beside: dict[tuple[int, int], bool] = {}
 
+    def _by_ending(self) -> dict[bytes, tuple[tuple[int, int | None], ...]]:
+        """Which tokens can end at a byte, longest first, by the last bytes (four; fewer at a start or where no longer token ends so).
+
+        Up to four bytes the token itself is known; of longer ones the size, to be looked up.
+        """
+        longer: dict[bytes, set[int]] = {}
+        endings: set[bytes] = set()
+        for token in self.ranks:
+            if len(token) > 3:
+                longer.setdefault(token[-4:], set()).add(len(token))
+            endings.add(token[-3:])
+            endings.add(token[-2:])
+        out = {}
+        for ending in endings | longer.keys():
+            found = [(size, None) for size in sorted(longer.get(ending, set()) - {4}, reverse=True)]
+            found += [(n, token) for n in range(len(ending), 0, -1) if (token := self.ranks.get(ending[-n:])) is not None]
+            out[ending] = tuple(found)
+        return out
+
     @staticmethod
     def read_ranks(data: bytes) -> dict[bytes, int]:
         """Lines of base64 bytes, a blank and a rank."""
@@ -107,14 +123,15 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Complete ``last``, the last tokens of the prefixes of ``piece`` known so far, in place."""
-        rank_of, known, sizes = self.ranks.get, self._beside.get, self._sizes
+        rank_of, known, ending = self.ranks.get, self._beside.get, self._ending.get
         for end in range(len(last) + 1, len(piece) + 1):
-            for size in sizes.get(piece[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
-                if size > end:
-                    continue
-                token = rank_of(piece[end - size : end])
+            options = ending(piece[end - 4 : end]) if end > 3 else None
+            if options is None:
+                options = ending(piece[max(end - 3, 0) : end]) or ending(piece[max(end - 2, 0) : end]) or ending(piece[end - 1 : end])
+            for size, token in options:
                 if token is None:
-                    continue
+                    if size > end or (token := rank_of(piece[end - size : end])) is None:
+                        continue
                 if size == end:
                     fits = self.halves(token) != ()
                 else:
@@ -146,16 +163,43 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, most: int = REMEMBERED) -> None:
         self.vocabulary = vocabulary
-        pieces = Remembered(lambda p: vocabulary.encode_piece(p.encode()), most)
-        split = vocabulary.pattern.findall
+        self._pieces = pieces = Remembered(lambda p: vocabulary.encode_piece(p.encode()), most)
+        self._split = split = vocabulary.pattern.findall
         self._chunks = Remembered(lambda c: [i for p in split(c) for i in pieces[p]], most)
         top = max(vocabulary.bytes_of) + 1
         self._bytes = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
         self._decimals = [str(i) for i in range(top)]
+        self._written = Remembered(lambda c: self._write([i for p in split(c) for i in pieces[p]]), most)
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the new pieces of many texts in order of their bytes: each goes on with the table of the one before it as far as
+        they begin alike. What is learnt is only remembered; it changes no result."""
+        new = {c for t in texts if t for c in chunks(t) if c not in self._written and c not in self._chunks}
+        pieces = {p for c in new for p in self._split(c) if p not in self._pieces}
+        table, before = [], b""
+        for data in sorted(p.encode() for p in pieces):
+            whole = self.vocabulary.ranks.get(data)
+            if whole is not None:
+                self._pieces[data.decode()] = [whole]
+                continue
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            del table[same:]
+            self._pieces[data.decode()] = self.vocabulary.walk(self.vocabulary.extend(data, table))
+            before = data
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self._chunks.__getitem__, chunks(text or ""))))
 
+    def _write(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), self.decimals(ids).encode(), self.decode(ids)
+
+    def written(self, text: str | None) -> tuple[int, bytes, bytes]:
+        """How many ids a text has, the ids as decimals joined by commas, and the bytes that they decode to."""
+        found = [self._written[c] for c in chunks(text or "")]
+        return sum([f[0] for f in found]), b",".join([f[1] for f in found]), b"".join([f[2] for f in found])
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
 
@@ -257,9 +301,12 @@ def map_texts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data, pattern)
         for batch in batches:
-            for at in range(0, len(batch), 256):  # results of long texts stay small in memory
-                part = batch.slice(at, 256)
-                made = list(zip(*[row(encoder, t.as_py()) for t in part.column(1)], strict=True))
+            for at in range(0, len(batch), 512):  # results of long texts stay small in memory
+                part = batch.slice(at, 512)
+                values = part.column(1).to_pylist()
+                if pa.types.is_string(part.schema.field(1).type):
+                    encoder.learn(values)
+                made = list(zip(*[row(encoder, v) for v in values], strict=True))
                 columns = [pa.array(v, kind) for v, (_, kind) in zip(made, fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, *fields])
 
@@ -283,8 +330,8 @@ def round_trip(documents: DataFrame, vocabulary: str, pattern: str, key: str = "
     """``key``, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, in one pass."""
 
     def digests(encoder: Encoder, text: str | None) -> tuple:
-        ids = encoder.encode(text)
-        return len(ids), hashlib.sha256(encoder.decimals(ids).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+        n, decimals, decoded = encoder.written(text)
+        return n, hashlib.sha256(decimals).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     fields = {
         "n_tokens": ("bigint", pa.int64()),
