@@ -12,7 +12,8 @@ item lies in one of them. The index travels with the tasks; a benchmark beyond `
 indexes of bounded size, searched in turn, with document frequencies of the whole benchmark. One narrow pass per index.
 
 Null and empty texts have no passages; items without a word are never found. An item's answer is its last sentence unless given; an item
-of one sentence is all question. Repeated documents and repeated items are found each.
+of one sentence is all question. Repeated documents and repeated items are found each. A very long text is searched in slices of windows.
+Ties between passages keep the greatest score and overlaps; an empty table on either side finds nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ THRESHOLD = 0.6
 BLOCK = 2
 #: Text of the items in one index at most; the index is sent to every task.
 MOST_BYTES = 4 << 20
+#: Bounds (windows times blocks) that are held at a time; bounds memory only.
+CELLS = 2_000_000
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -112,6 +115,20 @@ class Index:
         cells = np.bincount(owner * self.blocks + self.block_ids[at], self.block_values[at], windows * self.blocks)
         return base[:, None] + cells.reshape(windows, self.blocks)
 
+    def _alive(
+        self, window: np.ndarray, term: np.ndarray, windows: int, least: float
+    ) -> Iterator[tuple[int, list[int], list[int]]]:
+        """Windows with a block that can reach ``least``: number, terms, such blocks. Bounds are taken for as many windows at a time as
+        fit into ``CELLS``, so a text of any length needs no more memory."""
+        at_once = max(1, CELLS // max(self.blocks, 1))
+        for first in range(0, windows, at_once):
+            many = min(at_once, windows - first)
+            edges = np.searchsorted(window, np.arange(first, first + many + 1))
+            part = slice(edges[0], edges[-1])
+            alive = self.bounds(window[part] - first, term[part], many) >= least
+            for w in np.flatnonzero(alive.any(axis=1)):
+                yield first + int(w), term[edges[w] : edges[w + 1]].tolist(), np.flatnonzero(alive[w]).tolist()
+
     def search(self, terms: list[int], threshold: float, alive: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items whose impacts over ``terms`` sum to ``threshold`` or more.
 
@@ -187,10 +204,8 @@ class Index:
         pairs = np.unique(np.concatenate([late, early]) * len(self.term) + np.concatenate([ids[places], ids[places]]))
         window, term = pairs // len(self.term), pairs % len(self.term)
         found: dict[int, tuple[float, float, float]] = {}
-        alive = self.bounds(window, term, windows) >= threshold - 1e-9
-        for w in np.flatnonzero(alive.any(axis=1)):
-            low, high = np.searchsorted(window, [w, w + 1])
-            hits = self.search(term[low:high].tolist(), threshold, np.flatnonzero(alive[w]).tolist())
+        for w, of_window, blocks in self._alive(window, term, windows, threshold - 1e-9):
+            hits = self.search(of_window, threshold, blocks)
             if not hits:
                 continue
             passage = tokens[w * step : w * step + size]

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodeglass.llm import decontaminate as dc
 from lodeglass.llm.queries import QUERIES
@@ -92,3 +94,19 @@ def test_empty_tables_and_given_answers(make):
     none = make([], "item_id long, text string")
     assert dc.find_leaks(docs, none).count() == 0 and dc.without_leaks(docs, none).count() == 2
     assert dc.find_leaks(make([]), items).count() == 0
+
+
+VOCABULARY = [f"word{n}" for n in range(900)]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1000])
+def test_slices_of_windows_change_nothing(monkeypatch, cells):
+    rng = random.Random(4)
+    items = [(n, " ".join(rng.choices(VOCABULARY, k=30)), " ".join(rng.choices(VOCABULARY, k=6))) for n in range(40)]
+    counts = Counter(w for _, q, a in items for w in set(dc.words(q) + dc.words(a)))
+    index = dc.Index(items, counts, len(items), 36.0)
+    text = " ".join(" ".join(rng.choices(VOCABULARY, k=200)) + " " + " ".join(items[n][1:]) for n in range(0, 40, 7))
+    want = index.leaks(text, dc.THRESHOLD, dc.OVERLAP)
+    assert want.keys() >= set(range(0, 40, 7))
+    monkeypatch.setattr(dc, "CELLS", cells)
+    assert index.leaks(text, dc.THRESHOLD, dc.OVERLAP) == want
