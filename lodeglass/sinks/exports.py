@@ -63,21 +63,20 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     ).csv(path)
 
 
-def export_tables(datasets: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Every table as CSV under its own name; returns the paths by name.
+def export_tables(datasets: dict[str, DataFrame], folder: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Every table as CSV under its own name: (paths by name, reasons by name of those that could not be written).
 
-    A table that cannot be written does not stop the others; all failures are raised together at the end.
+    A table that cannot be written does not stop the others.
     """
-    paths = {name: f"{folder}/{name}" for name in datasets}
+    paths: dict[str, str] = {}
     failed: dict[str, str] = {}
     for name, df in datasets.items():
         try:
-            export_csv(df, paths[name])
+            export_csv(df, f"{folder}/{name}")
+            paths[name] = f"{folder}/{name}"
         except (PySparkException, Py4JJavaError) as problem:
             failed[name] = str(problem).splitlines()[0]
-    if failed:
-        raise RuntimeError(f"not exported: {failed}")
-    return paths
+    return paths, failed
 
 
 def export_profiles_json(profile: DataFrame, path: str) -> None:
@@ -104,13 +103,13 @@ def _append_numbered(rows: DataFrame, path: str, schema: str, group: str, order:
     names = [f.split(" ")[0] for f in schema.split(", ")]
     fields = T.StructType.fromDDL(schema)
     log = _ledger(rows.sparkSession, path, group)
-    numbered = materialise(number_within(rows, [group], [F.col(c) for c in order], "_at"))
-    sizes = materialise(numbered.groupBy(group).agg(F.max("_at").alias("_size")))
+    numbered = number_within(rows, [group], [F.col(c) for c in order], "_at")
+    sizes = materialise(numbered.groupBy(group).agg(F.max("_at").alias("_size")), "sizes")
     index = T.StructType([fields[group], T.StructField("last", T.LongType())])
 
     def parts(head):
         known = log.read("index", index, head).groupBy(group).agg(F.max("last").alias("_known"))
-        last = materialise(join_on(sizes, known, [group], "left").withColumn("_last", F.coalesce("_known", F.lit(0))))
+        last = join_on(sizes, known, [group], "left").withColumn("_last", F.coalesce("_known", F.lit(0)))
         placed = join_on(numbered, last.select(group, "_last"), [group]).withColumn("seq", F.col("_at") + F.col("_last"))
         cells = [F.col(n).cast(fields[n].dataType).alias(n) for n in names]
         return {"rows": placed.select(*cells), "index": last.select(group, (F.col("_last") + F.col("_size")).alias("last"))}

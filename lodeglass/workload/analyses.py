@@ -439,7 +439,7 @@ def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "feature_columns",
     """
-SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus, year(o_orderdate) AS o_orderdate_year,
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus, o_orderpriority, year(o_orderdate) AS o_orderdate_year,
        month(o_orderdate) AS o_orderdate_month, day(o_orderdate) AS o_orderdate_day,
        isodow(o_orderdate) AS o_orderdate_weekday, quarter(o_orderdate) AS o_orderdate_quarter,
        (o_totalprice >= 1000)::INT + (o_totalprice >= 100000)::INT + (o_totalprice >= 250000)::INT AS price_band,
@@ -455,9 +455,8 @@ def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         ratios={"price_per_key": ("o_totalprice", "o_custkey")},
         flags={"is_": ("o_orderstatus", ["F", "O"])},
     )
-    wide = featured.drop("o_custkey", "o_orderpriority")
     parts = ["year", "month", "day", "weekday", "quarter"]
-    return wide.withColumns({f"o_orderdate_{p}": F.col(f"o_orderdate_{p}").cast("long") for p in parts})
+    return featured.withColumns({f"o_orderdate_{p}": F.col(f"o_orderdate_{p}").cast("long") for p in parts})
 
 
 # ---- periods -----------------------------------------------------------------------------------

@@ -166,13 +166,29 @@ def chaid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(nodes, "rate", digits=6), "adj_p", digits=10)
 
 
-@query("chaid_tree_labels")
+@query(
+    "chaid_tree_labels",
+    "WITH RECURSIVE "
+    + tree_sql(
+        "documents JOIN labels USING (doc_id)", "doc_id", "quality = 1",
+        {
+            "n_lines": "len(string_split(text, chr(10)))",
+            "n_marks": "len(regexp_extract_all(text, '[#%*]{3}'))",
+            "toxic": "toxic",
+        },
+        {"lang": "lang"}, min_leaf=10, depth=3,
+    )
+    + "SELECT node_id, parent_id, depth, path, split_column, categories, n, round(1 - rate, 6) AS rate, "
+    "round(adj_p, 10) AS adj_p FROM nodes",
+)
 def chaid_tree_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What tells labelled documents of low quality from the others."""
+    """What tells labelled documents of low quality from the others: a tree of three levels."""
     labels = table(spark, sf_dir, "labels")
     texts = _texts(spark, sf_dir).join(labels, "doc_id")
     predictors = ["n_lines", "n_marks", "lang", "toxic"]
-    return chaid.tree_frame(texts, chaid.chaid_tree(texts, "quality", 0, predictors, min_leaf=10))
+    tree = chaid.chaid_tree(texts, "quality", 0, predictors, min_leaf=10)
+    nodes = chaid.tree_frame(texts, tree).withColumn("categories", F.array_join("categories", ", "))
+    return rounded(rounded(nodes, "rate", digits=6), "adj_p", digits=10)
 
 
 @query(
@@ -354,10 +370,10 @@ SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) A
        date_trunc('hour', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events) AS closed FROM events GROUP BY ALL""",
 )
 def windowed_counts_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of all events, which arrive in twelve files against the order of time, one a batch."""
+    """Hourly counts of all events, which arrive in five files against the order of time, one a batch."""
     path = scratch_path(spark, "arrivals")
     events = table(spark, sf_dir, "events")
-    events.repartitionByRange(12, F.col("ts").desc()).write.parquet(path)
+    events.repartitionByRange(5, F.col("ts").desc()).write.parquet(path)
     stream = incremental.file_stream(spark, path, events.schema, files_per_batch=1)
     out, state = scratch_path(spark, "windows"), scratch_path(spark, "windows_state")
-    return incremental.windowed_counts(stream, "ts", "event_type", out, state, "1 hour", "1 day", fan=4)
+    return incremental.windowed_counts(stream, "ts", "event_type", out, state, "1 hour", "1 day", fan=3)

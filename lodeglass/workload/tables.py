@@ -180,13 +180,13 @@ def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_sample",
     """
-SELECT to_json(list({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
+SELECT to_json(list({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal,
                      'c_mktsegment': nullif(c_mktsegment, 'HOUSEHOLD')} ORDER BY c_custkey))::VARCHAR AS json
 FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)""",
 )
 def json_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", null_if(F.col("c_mktsegment"), "HOUSEHOLD").alias("c_mktsegment")
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", null_if(F.col("c_mktsegment"), "HOUSEHOLD").alias("c_mktsegment")
     )
     return sampling.json_sample(customer, ["c_custkey"])
 

@@ -1,4 +1,4 @@
-"""SQL that grows a two-level tree as ``plans.chaid`` does: merges, cuts, adjusted p-values and rules, for a yes/no target."""
+"""SQL that grows a tree as ``plans.chaid`` does: merges, cuts, adjusted p-values and rules, for a yes/no target."""
 
 from __future__ import annotations
 
@@ -110,9 +110,27 @@ b{k} AS (
   WHERE place = 1 AND adj_p <= 0.05)"""
 
 
+def _grown(k: int) -> str:
+    """CTEs of level ``k``: ``m`` (its nodes), ``r`` (the node of every key), ``w`` (the rules of its nodes), ``h`` (their rows)."""
+    before = " + ".join(f"(SELECT count(*) FROM m{i})" for i in range(1, k)) or "0"
+    rule = f"{{'p': m{k}.p, 'cats': m{k}.cats}}"
+    return f"""
+m{k} AS (SELECT *, {before} + row_number() OVER (ORDER BY node, spot) AS id FROM b{k}),
+r{k} AS (SELECT r{k - 1}.key, coalesce(m.id, r{k - 1}.node) AS node FROM r{k - 1}
+  LEFT JOIN (SELECT l{k}.key, m{k}.id FROM l{k} JOIN m{k} ON l{k}.node = m{k}.node AND l{k}.p = m{k}.p AND list_contains(m{k}.cats, l{k}.c))
+    AS m USING (key)),
+w{k} AS (
+  SELECT m{k}.id, m{k}.node AS parent, {k} AS depth, m{k}.p, m{k}.cats, m{k}.adj_p,
+         CASE WHEN list_contains(list_transform(w.rules, lambda r: r.p), m{k}.p)
+              THEN list_transform(w.rules, lambda r: CASE WHEN r.p = m{k}.p THEN {rule} ELSE r END)
+              ELSE list_append(w.rules, {rule}) END AS rules
+  FROM m{k} JOIN w{k - 1} AS w ON w.id = m{k}.node),
+h{k} AS (SELECT r{k}.node AS id, count(*) AS n, avg(hit) AS rate FROM t JOIN r{k} USING (key) WHERE r{k}.node IN (SELECT id FROM m{k}) GROUP BY 1)"""
+
+
 def tree_sql(
     source: str, key: str, hit: str, numeric: dict[str, str], named: dict[str, str], min_leaf: int = 30,
-    alpha: float = 0.05, alpha_resplit: float = 0.049,
+    alpha: float = 0.05, alpha_resplit: float = 0.049, depth: int = 2,
 ) -> str:
     """CTEs ``nodes`` (as ``tree_frame``) and ``routed`` (key, leaf_id), for use behind WITH RECURSIVE."""
     probs = ", ".join(str(i / 10) for i in range(1, 10))
@@ -122,31 +140,29 @@ def tree_sql(
     cells = " UNION ALL ".join(
         f"SELECT key, hit, 0 AS node, '{p}' AS p, {bins.get(p, p)} AS c FROM t, q" for p in {**numeric, **named}
     )
-    names = list(numeric)
+    levels = []
+    for k in range(1, depth + 1):
+        if k > 1:
+            levels.append(
+                f"\nl{k} AS (SELECT l1.key, hit, r{k - 1}.node, p, c FROM l1 JOIN r{k - 1} USING (key) "
+                f"WHERE r{k - 1}.node IN (SELECT id FROM m{k - 1}))"
+            )
+        levels += [_level(k, min_leaf, alpha, alpha_resplit, list(numeric)), _grown(k)]
+    every = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(depth + 1))
+    held = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(depth + 1))
     return f"""
 t AS (SELECT {key} AS key, ({hit})::INT AS hit, {raw} FROM {source}),
 q AS (SELECT {cuts} FROM t),
 l1 AS ({cells}),
-{_level(1, min_leaf, alpha, alpha_resplit, names)},
-m1 AS (SELECT *, row_number() OVER (ORDER BY spot) AS id FROM b1),
-r1 AS (SELECT key, coalesce(m1.id, 0) AS node FROM (SELECT DISTINCT key FROM l1) AS k
-       LEFT JOIN (SELECT l1.key, m1.id FROM l1 JOIN m1 ON l1.p = m1.p AND list_contains(m1.cats, l1.c)) AS m1 USING (key)),
-l2 AS (SELECT l1.key, hit, r1.node, p, c FROM l1 JOIN r1 USING (key) WHERE r1.node > 0),
-{_level(2, min_leaf, alpha, alpha_resplit, names)},
-m2 AS (SELECT *, (SELECT count(*) FROM m1) + row_number() OVER (ORDER BY node, spot) AS id FROM b2),
-r2 AS (SELECT r1.key, coalesce(m.id, r1.node) AS leaf_id FROM r1
-       LEFT JOIN (SELECT l2.key, m2.id FROM l2 JOIN m2 ON l2.node = m2.node AND l2.p = m2.p AND list_contains(m2.cats, l2.c)) AS m USING (key)),
-routed AS (SELECT key, leaf_id::INT AS leaf_id FROM r2),
-paths AS (
-  SELECT 0 AS id, NULL::INT AS parent, 0 AS depth, 'all' AS path, NULL::VARCHAR AS p, []::VARCHAR[] AS cats, NULL::DOUBLE AS adj_p
-  UNION ALL SELECT id, 0, 1, p || ' in {{' || array_to_string(cats, ', ') || '}}', p, cats, adj_p FROM m1
-  UNION ALL SELECT m2.id, m2.node, 2, CASE WHEN m1.p = m2.p THEN '' ELSE m1.p || ' in {{' || array_to_string(m1.cats, ', ') || '}} & ' END
-    || m2.p || ' in {{' || array_to_string(m2.cats, ', ') || '}}', m2.p, m2.cats, m2.adj_p FROM m2 JOIN m1 ON m1.id = m2.node),
-held AS (
-  SELECT 0 AS id, count(*) AS n, avg(hit) AS rate FROM t
-  UNION ALL SELECT r1.node, count(*), avg(hit) FROM t JOIN r1 USING (key) WHERE r1.node > 0 GROUP BY r1.node
-  UNION ALL SELECT r2.leaf_id, count(*), avg(hit) FROM t JOIN r2 USING (key) WHERE r2.leaf_id > (SELECT count(*) FROM m1) GROUP BY r2.leaf_id),
+r0 AS (SELECT DISTINCT key, 0 AS node FROM l1),
+w0 AS (SELECT 0 AS id, NULL::BIGINT AS parent, 0 AS depth, NULL::VARCHAR AS p, []::VARCHAR[] AS cats, NULL::DOUBLE AS adj_p,
+       []::STRUCT(p VARCHAR, cats VARCHAR[])[] AS rules),
+h0 AS (SELECT 0 AS id, count(*) AS n, avg(hit) AS rate FROM t),{','.join(levels)},
+routed AS (SELECT key, node::INT AS leaf_id FROM r{depth}),
+every AS ({every}),
 nodes AS (
-  SELECT paths.id::INT AS node_id, parent::INT AS parent_id, depth, path, p AS split_column, array_to_string(cats, ', ') AS categories,
-         n, rate, adj_p, paths.id NOT IN (SELECT parent FROM paths WHERE parent IS NOT NULL) AS leaf
-  FROM paths JOIN held USING (id))"""
+  SELECT every.id::INT AS node_id, parent::INT AS parent_id, depth, coalesce(nullif(array_to_string(list_transform(rules,
+           lambda r: r.p || ' in {{' || array_to_string(r.cats, ', ') || '}}'), ' & '), ''), 'all') AS path,
+         p AS split_column, array_to_string(cats, ', ') AS categories, n, rate, adj_p,
+         every.id NOT IN (SELECT parent FROM every WHERE parent IS NOT NULL) AS leaf
+  FROM every JOIN ({held}) AS held USING (id))"""

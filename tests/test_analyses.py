@@ -452,6 +452,19 @@ def test_kmeans_separates_two_clouds(spark):
     assert sorted(r["n"] for r in centres.collect()) == [100, 100]
 
 
+def test_kmeans_of_few_null_and_no_rows(spark):
+    rows = [(1, 0.0, 1.0), (2, 10.0, 1.0), (3, None, 1.0), (4, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, constant double")
+    assigned, centres = segments.segment_kmeans(df, "id", ["x", "constant"], k=5)
+    assert {r["key"] for r in assigned.collect()} == {1, 2}
+    assert [r["n"] for r in centres.orderBy("cluster").collect()] == [1, 1]
+    for columns in (["x"], ["x", "constant"]):
+        assigned, centres = segments.segment_kmeans(df.limit(0), "id", columns, k=2)
+        assert assigned.count() == centres.count() == 0
+    arrays = spark.createDataFrame([(1, [0.0, 0.0]), (2, [5.0, 5.0]), (3, None), (4, [None, 1.0])], "id long, v array<double>")
+    assert segments.segment_kmeans(arrays, "id", ["v"], k=2)[0].count() == 2
+
+
 def test_segment_scores_share_ties(spark):
     rows = [(k, "2024-01-01", 10.0) for k in range(4)] + [(9, "2024-02-01", 99.0)]
     df = spark.createDataFrame(rows, "k int, d string, v double").withColumn("d", F.col("d").cast("date"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeglass.functions.distributions import chi2_tail
+from lodeglass.functions.distributions import _uniform_tail, chi2_tail
 from lodeglass.operators import documents, periods, profile, quantiles, statistics
 from lodeglass.plans.chaid import chaid_tree
 from lodeglass.plans.cleaning import Step, clean_dataset
@@ -65,6 +65,9 @@ def test_chi_squared_tail_of_many_degrees_is_quick_and_continuous():
         assert chi2_tail(float(df), df) == pytest.approx(0.5, abs=2e-3)
         assert chi2_tail(df + 3 * math.sqrt(2 * df), df) == pytest.approx(0.00135, abs=1e-4)
     assert chi2_tail(1e6, 10**6 - 1) == pytest.approx(chi2_tail(1e6, 10**6), abs=1e-3)
+    for z in (-5, -1, -0.01, 0, 0.01, 1, 5):  # both formulas at the seam
+        x = 999_999 + z * math.sqrt(2 * 999_999)
+        assert _uniform_tail(999_999 / 2, x / 999_999 - 1) == pytest.approx(chi2_tail(x, 999_999), rel=1e-8)
     assert (chi2_tail(INF, 3), chi2_tail(0.0, 3), chi2_tail(NAN, 3), chi2_tail(1.0, 0)) == (0.0, 1.0, None, None)
 
 
