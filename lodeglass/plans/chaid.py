@@ -231,6 +231,15 @@ def _cells(predictors: list[str], expressions: dict[str, Column] | None = None)
     return F.map_from_arrays(F.array(*[F.lit(p) for p in predictors]), F.array(*values))
 
 
+def _from_root(rows: DataFrame, rules: list[tuple[int, str, dict[str, int]]]) -> DataFrame:
+    """Rows with ``cells`` and the ``node`` of the first level they belong to; the root is one node, so it takes no join."""
+    root = next((r for r in rules if r[0] == 0), None)
+    if root is None:
+        return rows.withColumn("node", F.lit(0))
+    children = F.create_map(*[F.lit(v) for pair in root[2].items() for v in pair])
+    return rows.withColumn("node", F.element_at(children, F.element_at("cells", F.lit(root[1]))))
+
+
 def _descend(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with ``node`` and ``cells``, one level down; rows of nodes without a rule stay, unseen categories lead to null."""
     child = F.element_at("children", F.element_at("cells", F.col("predictor")))
@@ -315,8 +324,11 @@ def chaid_tree(
                 nodes.append(child)
                 following.append(child)
         split = {n.parent_id for n in following}
-        level = df.sparkSession.createDataFrame([r for r in tree.rules() if r[0] in split], RULES)
-        rows = _descend(rows.where(F.col("node").isin(*split)), level) if split else rows
+        if depth == 0:
+            rows = _from_root(cube, tree.rules())
+        elif split:
+            level = df.sparkSession.createDataFrame([r for r in tree.rules() if r[0] in split], RULES)
+            rows = _descend(rows.where(F.col("node").isin(*split)), level)
         frontier = following
     return tree
 
@@ -367,12 +379,16 @@ def risk_policy(df: DataFrame, tree: Tree, approve_below: float, decline_from: f
 def apply_policy(
     df: DataFrame, key: str, tree: Tree, approve_below: float, decline_from: float
 ) -> DataFrame:
-    """key, leaf_id, decision: one join with the rules for each level, one with the leaves. Categories the tree never
+    """key, leaf_id, decision: one join with the rules for each level below the first, one with the leaves. Categories the tree never
     saw give nulls."""
     spark = df.sparkSession
-    rows = df.select(quoted(key).alias("key"), _cells(tree.predictors, tree.bins).alias("cells"), F.lit(0).alias("node"))
-    rules = spark.createDataFrame(tree.rules(), RULES)
-    for _ in range(max(n.depth for n in tree.nodes)):
-        rows = _descend(rows, rules)
+    rules = tree.rules()
+    if not rules:
+        whole = decide(F.lit(tree.nodes[0].rate), approve_below, decline_from)
+        return df.select(quoted(key).alias("key"), F.lit(0).alias("leaf_id"), whole.alias("decision"))
+    rows = _from_root(df.select(quoted(key).alias("key"), _cells(tree.predictors, tree.bins).alias("cells")), rules)
+    deeper = spark.createDataFrame([r for r in rules if r[0] != 0], RULES)
+    for _ in range(max(n.depth for n in tree.nodes) - 1):
+        rows = _descend(rows, deeper)
     leaves = risk_policy(df, tree, approve_below, decline_from).select(F.col("leaf_id").alias("node"), "decision")
     return rows.join(leaves, "node", "left").select("key", F.col("node").alias("leaf_id"), "decision")

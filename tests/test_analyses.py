@@ -430,7 +430,10 @@ def test_resplitting_ends(seed):
 def test_routing_is_a_join_for_each_level(loans, tree):
     routed = chaid.apply_policy(loans, "id", tree, 0.2, 0.5)
     plan = routed._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join ") == max(n.depth for n in tree.nodes) + 1
+    assert plan.count("Join ") == max(n.depth for n in tree.nodes)
+    assert "NestedLoop" not in routed._jdf.queryExecution().executedPlan().toString()
+    alone = chaid.Tree([chaid.Node(0, None, 0, {}, n=3, rate=0.7)], tree.bins, tree.predictors)
+    assert {tuple(r)[1:] for r in chaid.apply_policy(loans, "id", alone, 0.2, 0.5).collect()} == {(0, "decline")}
     strange = loans.limit(1).withColumn("region", F.lit("nowhere")).withColumn("income", F.lit(None).cast("double"))
     row = chaid.apply_policy(strange, "id", tree, 0.2, 0.5).first()
     assert row["leaf_id"] is None and row["decision"] is None
