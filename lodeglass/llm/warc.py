@@ -191,7 +191,8 @@ class Archive:
 
     def __init__(self, stream) -> None:
         start = io.BufferedReader(stream, PIECE) if not isinstance(stream, io.BufferedReader) else stream
-        self._in = io.BufferedReader(gzip.GzipFile(fileobj=start), PIECE) if start.peek(2)[:2] == b"\x1f\x8b" else start
+        # read member by member: what stands before a broken one comes out
+        self._in = gzip.GzipFile(fileobj=start) if start.peek(2)[:2] == b"\x1f\x8b" else start
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
         """Fields in lower case, and the block in pieces; whatever of a block is not taken is skipped."""
