@@ -54,7 +54,7 @@ def quantiles_by(
         kept = kept if group else kept.withColumn("_all", F.lit(1))
         stats = bracket_stats(F.col("_v"), probs, accuracy)
         if not (keep_empty and group):
-            brackets = kept.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()])
+            brackets = materialise(kept.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()]), "brackets")
             return quantiles_in(kept, keys, "_v", brackets, probs, accuracy).select(*group, "n", *names)
         brackets = materialise(every.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()]), "brackets")
         found = quantiles_in(kept, keys, "_v", brackets, probs, accuracy).drop("n")
@@ -83,7 +83,7 @@ def bracket_stats(value: Column, probs: list[float], accuracy: int = ACCURACY) -
 def quantiles_in(
     kept: DataFrame, keys: list[str], value: str, brackets: DataFrame, probs: list[float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Pass 2: the exact quantiles, given ``bracket_stats`` per key of the very same rows.
+    """Pass 2: the exact quantiles, given ``bracket_stats`` per key of the very same rows, as a written table.
 
     ``probs`` must be sorted. Values must be filled numbers.
     """
@@ -95,7 +95,7 @@ def quantiles_in(
     highs = F.array(
         *[F.when(whole | F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_ends")[k + i]) for i in range(k)]
     )
-    brackets = materialise(brackets.where("_n > 0").select(*keys, lows.alias("_lo"), highs.alias("_hi")), "brackets")
+    brackets = brackets.where("_n > 0").select(*keys, lows.alias("_lo"), highs.alias("_hi"))
 
     # A value belongs to the first bracket that it is not above; below that bracket it lies in the gap before it.
     v, at = F.col(value), F.lit(k)
