@@ -180,3 +180,18 @@ def test_instants_do_not_depend_on_the_zone(spark):
             assert tuple(row) == (1711852200123456, dt.datetime(2024, 3, 31, 2, 30, 0, 123456))
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_distinct_counts_cover_whole_columns(spark, tmp_path):
+    """Columns of more values than a sketch remembers are judged too, not only classes made from them."""
+    from lodeglass.workload import models
+
+    ids = F.col("id")
+    spark.range(20_000).select(
+        ids.alias("event_id"), (ids % 7_000).alias("user_id"), (ids / 8).alias("value"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["column"]: r for r in models.incremental_unique(spark, str(tmp_path)).collect()}
+    assert {c: got[c]["n_unique"] for c in ("event_id", "user_id", "value")} == {"event_id": 20_000, "user_id": 7_000, "value": 20_000}
+    assert got["user_group"]["approx_unique"] == got["user_group"]["n_unique"] == 97
+    assert all(r["close"] and r["n"] == 20_000 for r in got.values())
