@@ -159,3 +159,20 @@ def test_running_total_matches_window(spark):
 
 def test_number_rows_of_an_empty_frame(spark):
     assert ordering.number_rows(spark.range(0), [F.col("id")], "at").count() == 0
+
+
+def test_approximate_profile_covers_all_numbers(spark, tmp_path):
+    """Keys and prices are profiled and their sketched quartiles judged, not only columns of few values."""
+    from lodeglass.workload import tables
+
+    n = F.col("id")
+    spark.range(9_000).select(
+        n.alias("l_orderkey"), (n % 3_000).alias("l_partkey"), (n % 10).alias("l_suppkey"),
+        (n % 7 + 1).cast("int").alias("l_linenumber"), (n % 50 + 1.0).alias("l_quantity"), (n * 1.5).alias("l_extendedprice"),
+        (n % 11 / 100).alias("l_discount"), (n % 9 / 100).alias("l_tax"), F.lit("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit("1996-01-01").cast("timestamp_ntz").alias("l_shipdate"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows_by_column(tables.numeric_profile_approx(spark, str(tmp_path)))
+    assert got.keys() == set(tables.GAPPY_NUMBERS) and all(r["close"] for r in got.values())
+    assert got["l_extendedprice"]["max"] == 8_999 * 1.5 and got["l_orderkey"]["mean"] == 4_499.5
+    assert got["l_linenumber"]["p50"] == 4.0 and got["l_orderkey"]["p50"] is None
