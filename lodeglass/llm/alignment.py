@@ -22,7 +22,9 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,11 @@ from lodeglass.llm.prefix_bpe import read_vocabulary
 from lodeglass.session import materialise
 
 #: Characters of text that a block gathers before it is aligned; bounds a task's memory, never what is aligned.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Encoded chunks that a worker remembers, twice at most; bounds its memory, changes speed only.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Chunks that the libraries encode in one call, and rows of a batch that are Python objects at once.
+AT_ONCE, ROWS = 4096, 512
 #: The sign that stands for a blank in sentencepiece models, and the separators of the written groups.
 BLANK = "▁"
 _SAME, _OTHER, _NEXT = b",|;"
@@ -85,7 +89,7 @@ class Tokenizers:
             self._old, self._new = self._new, {}
         held = [self._new.get(n) or self._old.get(n) for n in names]
         asked = [n for n, h in zip(names, held, strict=True) if h is None]
-        found = iter(self._ask(asked) if asked else ())
+        found = (made for at in range(0, len(asked), AT_ONCE) for made in self._ask(asked[at : at + AT_ONCE]))
         out = [next(found) if h is None else h for h in held]
         self._new.update(zip(names, out, strict=True))
         return out
@@ -99,7 +103,7 @@ class Tokenizers:
                 b = [self._lone]
             raw = name.encode()
             spelt = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            out.append((np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), spelt) if spelt else (b"", b"", False))
+            out.append((array("i", a).tobytes(), array("i", b).tobytes(), True) if spelt else (b"", b"", False))
         return out
 
 
@@ -187,6 +191,14 @@ _ARROW = pa.schema(
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+@cache
+def _worker(spec: bytes, proto: bytes) -> tuple[Tokenizers, tuple]:
+    """The tokenizers of one worker, kept from task to task with what they remember, and the tables of a block."""
+    both = Tokenizers(spec, proto)
+    lengths = [np.array([len(b) for b in table], np.int64) for table in (both.bytes_a, both.bytes_b)]
+    return both, (*lengths, _decimals(max(len(both.bytes_a), len(both.bytes_b))))
+
+
 def _align_block(tokenizers: Tokenizers, keys: list, texts: list[str | None], tables: tuple) -> Iterator[pa.RecordBatch]:
     """One row per document, then one row with what the whole block shares."""
     places: dict[str, int] = {}
@@ -267,11 +279,9 @@ def align(documents: DataFrame, tokenizer: str, model: str, text: str = "text")
     spec, proto = read_vocabulary(tokenizer), read_vocabulary(model)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(spec, proto)
-        lengths = [np.array([len(b) for b in table], np.int64) for table in (both.bytes_a, both.bytes_b)]
-        tables = (*lengths, _decimals(max(len(both.bytes_a), len(both.bytes_b))))
+        both, tables = _worker(spec, proto)
         keys, texts, held = [], [], 0
-        for batch in batches:
+        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, len(part), ROWS)):
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(key)
                 texts.append(value)

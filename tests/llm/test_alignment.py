@@ -129,3 +129,21 @@ def test_coalescing_any_two_tilings(a, b):
 def test_written_groups_read_back():
     assert alignment.read_groups("1,2|3;4|5,6") == [([1, 2], [3]), ([4], [5, 6])]
     assert alignment.read_groups("") == []
+
+
+def test_libraries_hold_few_chunks_at_once():
+    """What the libraries return for a block is turned into bytes in slices: their objects would fill a worker's memory."""
+    asked, made = [], ours()
+    real = made._ask
+
+    class Counted(alignment.Tokenizers):
+        def __init__(self):
+            self._new, self._old = {}, {}
+
+        def _ask(self, names):
+            asked.append(len(names))
+            return real(names)
+
+    names = [f" w{n}" for n in range(2 * alignment.AT_ONCE + 5)]
+    assert Counted().encode(names) == real(names)
+    assert asked == [alignment.AT_ONCE, alignment.AT_ONCE, 5]
