@@ -20,6 +20,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,7 +42,7 @@ MAGIC = b"DACS"
 _WORD, _BLOCK = 64, 512  # bits
 #: Ids in one file at most, unless one document has more; bounds a task's memory, never what is written.
 MOST_IDS = 16_000_000
-#: Encoded chunks, and pieces of them, that a worker remembers.
+#: Encoded chunks, and pieces of them, that a worker remembers, twice at most.
 REMEMBERED = 500_000
 #: Below this letter all versions of Unicode agree on what is a letter; chunks beyond it are cut by the library.
 _SETTLED = "\u0250"
@@ -171,16 +172,18 @@ def _tokenizer(data: bytes):
     if not apart:  # chunks of another kind of tokenizer may depend on one another
         return lambda text: whole(text) if text else b""
     letters, model, split = byte_letters(), tokenizer.model, regex.compile(PATTERN).findall
+    marked = regex.compile("|".join(map(regex.escape, marks)) or r"(?!)").search
 
     def piece(part: str) -> bytes:
         merged = model.tokenize(part.encode().decode("latin-1").translate(letters))
-        return np.array([t.id for t in merged], "<u4").tobytes()
-
-    pieces = Remembered(piece, REMEMBERED)
+        return array("I", [t.id for t in merged]).tobytes()
 
     def chunk(part: str) -> bytes:
-        if max(part) < _SETTLED and not any(m in part for m in marks):
-            return b"".join(map(pieces.__getitem__, split(part)))
+        if (part.isascii() or max(part) < _SETTLED) and not marked(part):
+            if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):  # one piece by the pattern
+                return piece(part)
+            found = split(part)
+            return b"".join(map(known.__getitem__, found)) if len(found) > 1 else piece(part)  # a piece is a chunk of one piece
         return whole(part)
 
     known = Remembered(chunk, REMEMBERED)

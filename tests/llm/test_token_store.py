@@ -82,3 +82,22 @@ def test_many_files_nulls_ties_and_empty_table(spark, make):
     assert sorted((str(r[0]), *r[2:]) for r in got) == sorted((str(r[0]), *r[2:]) for r in want)
     empty = token_store.write_tokens(make([]), PATH, token_store.new_folder(spark))
     assert token_store.read_tokens(spark, empty).count() == 0
+
+
+def test_words_are_remembered_once(monkeypatch):
+    """A chunk that is one piece is encoded once, also where it is a piece of other chunks; ids stay the library's."""
+    made = []
+    real = token_store.Remembered
+
+    class Counted(real):
+        def __init__(self, make, most):
+            made.append(self)
+            super().__init__(make, most)
+
+    monkeypatch.setattr(token_store, "Remembered", Counted)
+    with open(PATH, "rb") as file:
+        encode = token_store._tokenizer.__wrapped__(file.read())
+    library = Tokenizer.from_file(PATH)
+    for text in ("a word", "a word, word word's", "''' 's''s '", "x1 1x  y\n z ", "Él año ÀÿÖ ß²½ ɐ٠", "<|endoftext|> a<|endoftext|>", " ", "'"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(made) == 1 and " word" in made[0] and " word," in made[0]
