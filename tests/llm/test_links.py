@@ -92,3 +92,25 @@ def test_connect_loses_no_link_of_large_buckets(spark, monkeypatch):
         spark.createDataFrame(rows, "bucket long, node long"), lambda nodes: values.join(nodes, "node"), lambda a, b: F.abs(a - b) <= 1
     ).collect()
     assert {r["node"]: r["component"] for r in got} == by_hand(edges)
+
+
+def test_terms_keep_strangers_of_a_bucket_apart(spark, monkeypatch):
+    """200 members share a bucket and few hold: only those that share a term meet, and links without a common bucket are dropped."""
+    met, real = [], links.materialise
+
+    def noted(rows, name):
+        out = real(rows, name)
+        met.append(out.count()) if name == "pairs" else None
+        return out
+
+    monkeypatch.setattr(links, "materialise", noted)
+    value = {n: n * 10 for n in range(200)} | {3: 1200, 7: 1201, 150: 1202, 500: 1203, 501: 1204}
+    rows = [(0, n) for n in range(200)] + [(1, 500), (1, 501)]
+    values = spark.createDataFrame(list(value.items()), "node long, body long")
+    terms = lambda found: found.select("node", F.explode(F.array(F.floor(F.col("body") / 10), F.floor((F.col("body") + 5) / 10) + 1000)).alias("term"))
+    got = links.connect(
+        spark.createDataFrame(rows, "bucket long, node long"), lambda nodes: values.join(nodes, "node"), lambda a, b: F.abs(a - b) <= 2, terms
+    ).collect()
+    want = by_hand([(3, 120), (7, 120), (150, 120), (500, 501)])
+    assert {r["node"]: r["component"] for r in got} == want
+    assert sum(met) < 2 * len(rows)

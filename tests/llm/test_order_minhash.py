@@ -5,6 +5,7 @@ import pytest
 from test_line_dedup import edits
 from test_links import by_hand as groups_of
 
+from lodeglass.llm import links
 from lodeglass.llm import order_minhash as om
 from lodeglass.llm.queries import QUERIES
 
@@ -128,3 +129,39 @@ def test_recall_by_edit_similarity(part, least):
             met += bool(set(om.band_keys(" ".join(words))) & set(om.band_keys(" ".join(copy))))
     print(part, linked, met)
     assert linked > 100 and met >= least * linked
+
+
+def test_texts_around_one_passage_do_not_meet_in_pairs(make, monkeypatch):
+    """300 texts share half of their words and buckets by them: far fewer pairs than 300 * 299 / 2 are compared, near copies are found."""
+    met, real = [], links.materialise
+
+    def noted(rows, name):
+        out = real(rows, name)
+        met.append(out.count()) if name == "pairs" else None
+        return out
+
+    monkeypatch.setattr(links, "materialise", noted)
+    passage = [f"p{n}" for n in range(60)]
+    rows = [(n, " ".join(passage + [f"d{n}w{i}" for i in range(60)])) for n in range(300)]
+    rows += [(1000 + n, " ".join(changed(rows[n][1].split(), 0.03, n))) for n in range(0, 300, 30)]
+    got = {r["doc_id"]: r["class_id"] for r in om.classes(make(rows)).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+    assert sum(met) < 3 * len(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_aligned_texts_share_a_rare_run(spark, similarity):
+    choose = random.Random(3)
+    texts = []
+    for n in range(60):
+        words = [choose.choice(["of", "and", "a", f"r{choose.randint(0, 40)}", f"s{choose.randint(0, 999)}"]) for _ in range(choose.randint(1, 60))]
+        texts += [words, changed(words, choose.random() * (1 - similarity), n)[choose.randint(0, 2) :] or words]
+    coded = [om.coded(" ".join(w)) for w in texts]
+    found = om.rare_runs(spark.createDataFrame(list(enumerate(coded)), "node long, body string"), similarity).collect()
+    terms = {}
+    for r in found:
+        terms.setdefault(r["node"], set()).add(r["term"])
+    limit = lambda a, b: int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    held = [(i, j) for i in range(len(coded)) for j in range(i) if edits(coded[i], coded[j]) <= limit(coded[i], coded[j])]
+    assert len(held) >= 20 and all(terms[i] & terms[j] for i, j in held)
+    assert len(found) == len({(r["node"], r["term"]) for r in found})
