@@ -114,3 +114,14 @@ def test_terms_keep_strangers_of_a_bucket_apart(spark, monkeypatch):
     want = by_hand([(3, 120), (7, 120), (150, 120), (500, 501)])
     assert {r["node"]: r["component"] for r in got} == want
     assert sum(met) < 2 * len(rows)
+
+
+def test_lengths_that_do_not_fit_spare_the_comparison(spark):
+    """Bodies whose lengths do not fit are never tested, and no link is lost."""
+    value = {n: "x" * (n % 7 + 1) for n in range(30)}
+    values = spark.createDataFrame(list(value.items()), "node long, body string")
+    rows = spark.createDataFrame([(n % 2, n) for n in value], "bucket long, node long")
+    holds = lambda a, b: F.when(F.length(a) == F.length(b), True).otherwise(F.raise_error(F.lit("lengths differ")).cast("boolean"))
+    got = links.connect(rows, lambda nodes: values.join(nodes, "node"), holds, fits=lambda a, b: a == b).collect()
+    want = by_hand([(a, b) for a in value for b in value if a < b and a % 2 == b % 2 and value[a] == value[b]])
+    assert {r["node"]: r["component"] for r in got} == want
